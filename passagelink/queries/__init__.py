@@ -1 +1,42 @@
+"""Registered queries: a name, a Spark plan over a folder of tables, and where SQL can say the same, its SQL."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+class Registry:
+    """Collects queries under their names, with their SQL twins."""
+
+    def __init__(self) -> None:
+        self.queries: dict[str, Query] = {}
+        self.sql: dict[str, str] = {}
+
+    def __call__(self, sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+        def add(f: Query) -> Query:
+            key = name or f.__name__
+            if key in self.queries:
+                raise ValueError(f"query {key} is registered twice")
+            self.queries[key] = f
+            if sql is not None:
+                self.sql[key] = sql
+            return f
+
+        return add
+
+
+register = Registry()
+
+
+def load_all() -> Registry:
+    """Import every query module of the core, which registers its queries."""
+    import importlib
+    import pkgutil
+
+    for m in sorted(x.name for x in pkgutil.iter_modules(__path__)):
+        importlib.import_module(f"{__name__}.{m}")
+    return register
