@@ -13,15 +13,15 @@ _KEY = r"lower(regexp_replace({0}, '^[\s   ﻿]+|[\s   ﻿]+$', '', 'g'))"
 
 _CTE = f"""
 WITH r AS (
-  SELECT DISTINCT 'evidence_identity' AS ref_table, evidence_id AS record_id, {_KEY.format('candidate_pair_id')} AS k, recorded_at AS at FROM evidence_identity
+  SELECT DISTINCT 'evidence_identity' AS ref_table, evidence_id AS record_id, {_KEY.format('candidate_pair_id')} AS k, recorded_at AS seen FROM evidence_identity
   UNION SELECT DISTINCT 'selected_m7_pairs', row_identity, {_KEY.format('source_candidate_id')}, selected_at FROM selected_m7_pairs),
 refs AS (SELECT * FROM r WHERE length(k) > 0),
 p AS (SELECT {_KEY.format('candidate_pair_id')} AS k, coalesce(registered_at, TIMESTAMP '0001-01-01') AS s, coalesce(deleted_at, TIMESTAMP '9999-12-31') AS e FROM candidate_pairs),
 g AS (SELECT k, min(s) AS f FROM p GROUP BY k),
-x AS (SELECT refs.*, CASE WHEN g.k IS NULL THEN 'missing' WHEN at IS NULL THEN NULL WHEN at < f THEN 'late'
-        WHEN NOT EXISTS (SELECT 1 FROM p WHERE p.k = refs.k AND p.s <= refs.at AND refs.at < p.e) THEN 'deleted' END AS reason
+x AS (SELECT refs.*, CASE WHEN g.k IS NULL THEN 'missing' WHEN seen IS NULL THEN NULL WHEN seen < f THEN 'late'
+        WHEN NOT EXISTS (SELECT 1 FROM p WHERE p.k = refs.k AND p.s <= refs.seen AND refs.seen < p.e) THEN 'deleted' END AS reason
       FROM refs LEFT JOIN g ON g.k = refs.k),
-o AS (SELECT ref_table, record_id, coalesce(strftime(at, '%Y-%m'), 'unknown') AS ref_month, reason FROM x)
+o AS (SELECT ref_table, record_id, coalesce(strftime(seen, '%Y-%m'), 'unknown') AS ref_month, reason FROM x)
 """
 
 
