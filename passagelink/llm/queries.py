@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagelink.llm import encode, pii, setsim, splits, topn, vectors
+from passagelink.llm import encode, leakage, pii, setsim, splits, topn, vectors
 from passagelink.operators.references import loose_key
 from passagelink.session import materialize, table
 
@@ -73,6 +73,10 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "heldout_items"), "item_id", "text")
+
+
 def _lexicon(spark: SparkSession, d: str) -> list[tuple[str, str]]:
     return [tuple(r) for r in table(spark, d, "name_lexicon").select("name_part", "name_role").limit(pii.LEXICON).collect()]
 
@@ -86,5 +90,5 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_classes, p4_found, p5_found, p6_ids, p8_found, p8_redacted)
+    f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_classes, p4_found, p5_found, p6_ids, p7_found, p8_found, p8_redacted)
 }
