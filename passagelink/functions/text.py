@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Code points of the Hebrew and Greek scripts.
 CANTILLATION = "".join(map(chr, range(0x0591, 0x05B0))) + "ֽ"
@@ -31,17 +32,17 @@ def _per_value(f, s: pd.Series) -> pd.Series:
     return s.map(known).astype(object).where(s.notna(), None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return _per_value(lambda v: unicodedata.normalize("NFC", v), s)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_fold(s: pd.Series) -> pd.Series:
     return _per_value(lambda v: unicodedata.normalize("NFKC", v).casefold(), s)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def accent_fold(s: pd.Series) -> pd.Series:
     """Accents, breathings and diaeresis away, letter case folded (final sigma becomes medial), composed again."""
     marks = dict.fromkeys(map(ord, GREEK_MARKS))
