@@ -24,15 +24,11 @@ def benjamini_hochberg(df: DataFrame, p: str, ident: str, family: list[str] | No
     n = F.count("*").over(part)
     ranked = narrow.withColumn("r", rank).withColumn("n", n).withColumn("raw", F.col("bh_p") * F.col("n") / F.col("r"))
     low = F.min("raw").over(part.orderBy("r").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    out = ranked.select(*keys, "bh_id", F.least(F.lit(1.0), low).alias(q))
-    return df.join(out, (df[ident] == out["bh_id"]) & _same(df, out, keys), "left").select(*[df[c] for c in df.columns], out[q])
-
-
-def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    cond = F.lit(True)
+    out = ranked.select(*[F.col(k).alias(f"bh_{k}") for k in keys], "bh_id", F.least(F.lit(1.0), low).alias(q))
+    same = F.col(ident) == F.col("bh_id")
     for k in keys:
-        cond = cond & a[k].eqNullSafe(b[k])
-    return cond
+        same = same & F.col(k).eqNullSafe(F.col(f"bh_{k}"))
+    return df.join(out, same, "left").select(*df.columns, q)
 
 
 def midrank(df: DataFrame, value: str, group: list[str], name: str = "percentile") -> DataFrame:
