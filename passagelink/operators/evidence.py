@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from passagelink.operators.detectors import aligned_similarity, cosine, jaccard
 from passagelink.operators.features import grammar_features, structural_signature
+from passagelink.session import materialize
 
 
 def _multiset(a, b) -> float:
@@ -48,7 +49,8 @@ def grammar_frequencies(passages: DataFrame) -> DataFrame:
 def grammar_evidence(pairs: DataFrame, frequencies: DataFrame, rare_df: int) -> DataFrame:
     """grammar_score: mean of the overlap of grammar features and the alignments of parts of speech and morphology;
     rare_score: shared over all features of at most ``rare_df`` passages. pairs(a, b, pos_a, pos_b, morph_a, morph_b)."""
-    x = pairs.withColumn("fa", grammar_features(F.col("pos_a"), F.col("morph_a"))).withColumn("fb", grammar_features(F.col("pos_b"), F.col("morph_b")))
+    # written once, as every score below reads the features
+    x = materialize(pairs.withColumn("fa", grammar_features(F.col("pos_a"), F.col("morph_a"))).withColumn("fb", grammar_features(F.col("pos_b"), F.col("morph_b"))))
     score = (multiset_jaccard("fa", "fb") + aligned_similarity("pos_a", "pos_b") + aligned_similarity("morph_a", "morph_b")) / 3
     rare = frequencies.filter(F.col("df") <= rare_df).select("feature")
     each = x.select("a", "b", F.explode(F.array_union("fa", "fb")).alias("feature"), "fa", "fb").join(rare, "feature")
@@ -66,7 +68,7 @@ def structure_evidence(pairs: DataFrame) -> DataFrame:
     pairs(a, b, frames_a, participants_a, entities_a, and the same with _b).
     """
     sig = lambda s: structural_signature(F.col(f"frames_{s}"), F.col(f"participants_{s}"), F.col(f"entities_{s}"))
-    x = pairs.withColumn("sa", sig("a")).withColumn("sb", sig("b"))
+    x = materialize(pairs.withColumn("sa", sig("a")).withColumn("sb", sig("b")))
     one = lambda c: F.when(F.size(F.col(f"sa.{c}")) + F.size(F.col(f"sb.{c}")) > 0, (multiset_jaccard(f"sa.{c}", f"sb.{c}") + aligned_similarity(f"sa.{c}", f"sb.{c}")) / 2)
     parts = F.filter(F.array(*[one(c) for c in COMPONENTS]), lambda v: v.isNotNull())
     mean = F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda s, v: s + v) / F.size(parts)).otherwise(0.0)

@@ -210,16 +210,29 @@ MARKERS = {
 }
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once per row, also where f uses it inside a lambda for every element."""
+    return F.element_at(F.transform(F.array(value), lambda x: f(x)), 1)
+
+
+def _clean(a: Column) -> Column:
+    return F.filter(a, lambda x: F.coalesce(x, F.lit("")) != "")
+
+
 def grammar_features(pos: Column, morph: Column) -> Column:
     """Grammar fingerprint of a passage from its ordered annotations: POS 1- to 3-grams, morphology 1- and 2-grams and markers."""
-    clean = lambda a: F.filter(a, lambda x: F.coalesce(x, F.lit("")) != "")
-    pos, morph = clean(pos), clean(morph)
     label = lambda name, arr: F.transform(arr, lambda x: F.concat(F.lit(f"{name}:"), x))
-    parts = [label("pos" if n == 1 else f"pos{n}", ngrams(pos, n)) for n in (1, 2, 3)] + [label("morph" if n == 1 else f"morph{n}", ngrams(morph, n)) for n in (1, 2)]
-    both = F.transform(F.concat(pos, morph), F.lower)
-    shows = lambda ws: F.exists(both, lambda x: _any_in(x, ws))
-    marks = [F.when(shows(ws), F.array(F.lit(f"marker:{k}"))).otherwise(F.array().cast("array<string>")) for k, ws in MARKERS.items()]
-    return F.flatten(F.array(*parts, *marks))
+
+    def marks(p: Column, m: Column) -> Column:
+        # only distinct annotations are searched
+        words = F.array_distinct(F.transform(F.concat(p, m), lambda x: F.lower(x)))
+        shows = lambda w, needles: F.when(F.exists(w, lambda x: _any_in(x, needles)), F.lit(1))
+        return let(words, lambda w: F.filter(F.array(*[F.when(shows(w, n) == 1, F.lit(f"marker:{k}")) for k, n in MARKERS.items()]), lambda x: x.isNotNull()))
+
+    def every(p: Column, m: Column) -> Column:
+        return F.flatten(F.array(*[label("pos" if n == 1 else f"pos{n}", ngrams(p, n)) for n in (1, 2, 3)], *[label("morph" if n == 1 else f"morph{n}", ngrams(m, n)) for n in (1, 2)], marks(p, m)))
+
+    return let(_clean(pos), lambda p: let(_clean(morph), lambda m: every(p, m)))
 
 
 def _any_in(x: Column, needles: tuple[str, ...]) -> Column:
@@ -231,14 +244,15 @@ def _any_in(x: Column, needles: tuple[str, ...]) -> Column:
 
 def structural_signature(frames: Column, participants: Column, entities: Column) -> Column:
     """struct of frames, participants, entities and actions of a passage and of what follows what among them."""
-    clean = lambda a: F.filter(a, lambda x: F.coalesce(x, F.lit("")) != "")
-    frames, participants, entities = clean(frames), clean(participants), clean(entities)
-    actions = F.filter(frames, lambda x: _any_in(F.lower(x), ("verb", "event", "action", "predicate")))
-    step = lambda a: ngrams(a, 2)
-    return F.struct(
-        frames.alias("frames"), step(frames).alias("frame_transitions"), participants.alias("participants"), step(participants).alias("participant_transitions"),
-        entities.alias("entities"), actions.alias("actions"), step(actions).alias("action_progression"),
-    )
+    acts = lambda f: F.filter(f, lambda x: _any_in(F.lower(x), ("verb", "event", "action", "predicate")))
+
+    def every(f: Column, p: Column, a: Column) -> Column:
+        return F.struct(
+            f.alias("frames"), ngrams(f, 2).alias("frame_transitions"), p.alias("participants"), ngrams(p, 2).alias("participant_transitions"),
+            _clean(entities).alias("entities"), a.alias("actions"), ngrams(a, 2).alias("action_progression"),
+        )
+
+    return let(_clean(frames), lambda f: let(_clean(participants), lambda p: let(acts(f), lambda a: every(f, p, a))))
 
 
 def frequency_change(before: DataFrame, after: DataFrame, k: int = 25) -> DataFrame:

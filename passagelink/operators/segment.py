@@ -107,7 +107,7 @@ def enclosing_units(tokens: DataFrame, units: DataFrame, keys: list[str], positi
 
 def sentences(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """Running text cut into lines and sentences: ident, ordinal (from 1), sentence. Blank pieces are dropped."""
-    pieces = F.filter(F.transform(F.split(text, r"[\n.!?]"), F.trim), lambda s: s != "")
+    pieces = F.filter(F.transform(F.split(text, r"[\n.!?]"), lambda s: F.trim(s)), lambda s: s != "")
     return docs.select(ident, F.posexplode(pieces).alias("p", "sentence")).select(ident, (F.col("p") + 1).alias("ordinal"), "sentence")
 
 

@@ -198,7 +198,7 @@ def baseline_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     f"""WITH {NB}, b AS (SELECT q, t, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, t) AS INTEGER) AS rank FROM nb WHERE round(score, 6) > 0), bb AS (SELECT * FROM b WHERE rank <= 10),
-    cx AS (SELECT q, t, round(score * score * CASE WHEN split_part(q, '_', 2) = split_part(t, '_', 2) THEN 1 ELSE 0.5 END, 6) AS score FROM nb), c AS (SELECT q, t, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, t) AS INTEGER) AS rank FROM cx WHERE score > 0), cc AS (SELECT * FROM c WHERE rank <= 10),
+    cx AS (SELECT q, t, round(score + CASE WHEN split_part(q, '_', 2) = split_part(t, '_', 2) THEN 0.004 ELSE 0 END, 6) AS score FROM nb), c AS (SELECT q, t, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, t) AS INTEGER) AS rank FROM cx WHERE score > 0), cc AS (SELECT * FROM c WHERE rank <= 10),
     j AS (SELECT coalesce(bb.q, cc.q) AS q, coalesce(bb.t, cc.t) AS t, bb.score AS sb, cc.score AS sc, bb.rank AS rb, cc.rank AS rc FROM bb FULL OUTER JOIN cc ON bb.q = cc.q AND bb.t = cc.t)
     SELECT q, t, round(sc - sb, 6) AS score_delta, rc - rb AS rank_delta, count(*) FILTER (rb <= 5 AND rc <= 5) OVER (PARTITION BY q) AS overlap_at_k, CASE WHEN rb IS NULL THEN 'only_comparison' WHEN rc IS NULL THEN 'only_baseline' END AS exclusion FROM j"""
 )
@@ -207,7 +207,7 @@ def sensitivity_delta(spark: SparkSession, d: str) -> DataFrame:
 
     n = neighbors(spark, d)
     same = F.split_part("q", F.lit("_"), F.lit(2)) == F.split_part("t", F.lit("_"), F.lit(2))
-    other = n.withColumn("score", F.col("score") * F.col("score") * F.when(same, 1.0).otherwise(0.5))
+    other = n.withColumn("score", F.col("score") + F.when(same, 0.004).otherwise(0.0))
     return sensitivity(R.top_k(n, 10, 6), R.top_k(other, 10, 6), 5).withColumn("score_delta", F.round("score_delta", 6))
 
 
