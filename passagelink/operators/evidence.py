@@ -53,8 +53,9 @@ def grammar_evidence(pairs: DataFrame, frequencies: DataFrame, rare_df: int) ->
     x = materialize(pairs.withColumn("fa", grammar_features(F.col("pos_a"), F.col("morph_a"))).withColumn("fb", grammar_features(F.col("pos_b"), F.col("morph_b"))))
     score = (multiset_jaccard("fa", "fb") + aligned_similarity("pos_a", "pos_b") + aligned_similarity("morph_a", "morph_b")) / 3
     rare = frequencies.filter(F.col("df") <= rare_df).select("feature")
-    each = x.select("a", "b", F.explode(F.array_union("fa", "fb")).alias("feature"), "fa", "fb").join(rare, "feature")
-    n = each.groupBy("a", "b").agg((F.count_if(F.array_contains("fa", F.col("feature")) & F.array_contains("fb", F.col("feature"))) / F.count("*")).alias("rare_score"))
+    side = lambda f: x.select("a", "b", F.explode(F.array_distinct(f)).alias("feature"))
+    each = side("fa").unionByName(side("fb")).join(rare, "feature").groupBy("a", "b", "feature").agg(F.count("*").alias("sides"))
+    n = each.groupBy("a", "b").agg((F.count_if(F.col("sides") == 2) / F.count("*")).alias("rare_score"))
     return x.withColumn("grammar_score", score).drop("fa", "fb").join(n, ["a", "b"], "left").na.fill(0.0, ["rare_score"])
 
 
