@@ -97,15 +97,14 @@ def encode(passages: DataFrame, text: str, encoder, size: int, prefix: str = "qu
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(s: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(s), dtype=object)
         keep = s.notna()
+        unit = iter(())
         if keep.any():
             v = np.asarray(encoder([prefix + t for t in s[keep]]), dtype=np.float64)
-            n = np.linalg.norm(v, axis=1)
-            if v.shape != (int(keep.sum()), size) or not np.isfinite(v).all() or (n <= 0).any():
+            if v.shape != (int(keep.sum()), size) or not np.isfinite(v).all() or not (np.linalg.norm(v, axis=1) > 0).all():
                 raise ValueError("the encoder gave unusable vectors")
-            out[keep] = list((v / n[:, None]).astype(np.float32))
-        return out
+            unit = iter((v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32))
+        return pd.Series([next(unit) if k else None for k in keep], dtype=object)
 
     return passages.withColumn("vector", run(text))
 
