@@ -102,14 +102,13 @@ def encode_corpus(docs: DataFrame, ident: str, text: str, vocabulary: str = VOCA
                 # position of each id of the block: start of its pre-token, and on
                 src = np.repeat(start[at] - ends[:-1], n) + np.arange(ends[-1])
                 bound = ends[np.concatenate([[0], np.cumsum(lens)])]
-                base, lo = 0, 0
+                lo = 0
                 while lo < len(doc):  # batches of bounded size
                     hi = min(len(doc), lo + 512)
                     part = flat[src[bound[lo] : bound[hi]]].astype(np.int32)
                     off = (bound[lo : hi + 1] - bound[lo]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(doc[lo:hi]), pa.ListArray.from_arrays(pa.array(off), pa.array(part))], ["doc", "ids"])
                     lo = hi
-                del base
 
     return whole.mapInArrow(put, "doc bigint, ids array<int>").select(F.col("doc").alias(ident), "ids")
 
@@ -128,5 +127,5 @@ def decode_corpus(encoded: DataFrame, ident: str, ids: str, table: DataFrame) ->
     """
     at = encoded.select(F.col(ident).alias("doc"), F.posexplode(ids).alias("pos", "id"))
     back = at.join(F.broadcast(table), "id").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("bytes").alias("h")))).alias("p"))
-    text = back.select("doc", F.decode(F.unhex(F.array_join("p.h", "")), F.lit("UTF-8")).alias("text"))
+    text = back.select("doc", F.make_valid_utf8(F.unhex(F.array_join("p.h", "")).cast("string")).alias("text"))
     return encoded.select(F.col(ident).alias("doc")).join(text, "doc", "left").select(F.col("doc").alias(ident), F.coalesce("text", F.lit("")).alias("text"))

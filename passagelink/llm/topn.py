@@ -55,8 +55,6 @@ def top_n(df: DataFrame, group: str, ident: str, score: str, n: int, rank: str =
         active = active.withColumn("c", code).withColumn("part", part)
         ids = [] if first else [F.min("i").alias("first_id"), F.max("i").alias("last_id")]
         counts = active.groupBy("g", "part").agg(F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("need").alias("need"), F.max("skip").alias("skip"), *ids)
-        if first:
-            counts = counts.withColumns({"first_id": F.lit(""), "last_id": F.lit("")})
         down = Window.partitionBy("g").orderBy(F.desc("part"))  # at most RANGES rows of a group
         cut = (
             counts.withColumn("upto", F.sum("k").over(down.rowsBetween(Window.unboundedPreceding, 0)))
@@ -67,7 +65,7 @@ def top_n(df: DataFrame, group: str, ident: str, score: str, n: int, rank: str =
         cut = cut.select(
             F.col("g"), F.col("part").alias("cut_part"), (F.col("upto") <= F.col("need")).alias("settled"), (F.col("need") - F.col("upto") + F.col("k")).alias("need2"),
             F.when(alike, F.lit(0.0)).otherwise(F.col("lo")).alias("lo2"), F.when(alike, F.lit(float((1 << 8 * STEP) - 1))).otherwise(F.col("hi")).alias("hi2"),
-            F.when(~alike, F.col("skip")).otherwise(F.expr(_SHARED)).alias("skip2"),
+            F.when(~alike, F.col("skip")).otherwise(F.lit(0) if first else F.expr(_SHARED)).alias("skip2"),
         )
         kept = active.join(cut, "g").filter(F.col("part") >= F.col("cut_part"))
         open_row = (F.col("part") == F.col("cut_part")) & ~F.col("settled")
