@@ -12,20 +12,21 @@ from pyspark.sql import types as T
 
 
 def benjamini_hochberg(df: DataFrame, p: str, ident: str, family: list[str] | None = None, q: str = "q_value") -> DataFrame:
-    """Benjamini-Hochberg q-values within each family, equal p by identifier; null p-values are not tested and get null.
+    """Benjamini-Hochberg q-values within each family; null p-values are not tested and get null.
 
-    A family is one window partition; with a single family of all rows that is one sorted pass, so only the family, p
-    and the identifier go through it and the q-values are joined back.
+    Equal p-values share the q-value of their last rank, so the windows run over the distinct p-values of a family with
+    their counts (for empirical p-values a few thousand rows, whatever the number of tests), and the q-values are joined
+    back. ``ident`` only names the rows; it decides nothing.
     """
     keys = family or []
-    narrow = df.filter(F.col(p).isNotNull()).select(*keys, F.col(ident).alias("bh_id"), F.col(p).alias("bh_p"))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    rank = F.row_number().over(part.orderBy("bh_p", "bh_id"))
-    n = F.count("*").over(part)
-    ranked = narrow.withColumn("r", rank).withColumn("n", n).withColumn("raw", F.col("bh_p") * F.col("n") / F.col("r"))
-    low = F.min("raw").over(part.orderBy("r").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    out = ranked.select(*[F.col(k).alias(f"bh_{k}") for k in keys], "bh_id", F.least(F.lit(1.0), low).alias(q))
-    same = F.col(ident) == F.col("bh_id")
+    tested = df.filter(F.col(p).isNotNull())
+    bins = tested.groupBy(*[F.col(k).alias(f"bh_{k}") for k in keys], F.col(p).alias("bh_p")).agg(F.count("*").alias("k"))
+    part = Window.partitionBy(*[f"bh_{k}" for k in keys]) if keys else Window.partitionBy(F.lit(0))
+    upto = F.sum("k").over(part.orderBy("bh_p").rowsBetween(Window.unboundedPreceding, 0))
+    raw = bins.withColumn("upto", upto).withColumn("raw", F.col("bh_p") * F.sum("k").over(part) / F.col("upto"))
+    low = F.min("raw").over(part.orderBy("bh_p").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    out = raw.select(*[f"bh_{k}" for k in keys], "bh_p", F.least(F.lit(1.0), low).alias(q))
+    same = F.col(p) == F.col("bh_p")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"bh_{k}"))
     return df.join(out, same, "left").select(*df.columns, q)

@@ -33,7 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir, or where it is unset (tests) an own temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="passagelink-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not sc.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a shared folder")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="passagelink-"))
     return sc.getCheckpointDir()
 
 
@@ -48,9 +51,8 @@ def materialize(df: DataFrame, *partition_hint: str) -> DataFrame:
     if partition_hint:
         df = df.sortWithinPartitions(*partition_hint)
     df.write.option("compression", "zstd").parquet(where)
-    jvm, path = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(where)
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    del jvm
     return spark.read.schema(df.schema).parquet(where)
 
 
