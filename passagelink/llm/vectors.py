@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from passagelink.session import materialize
 
 #: Curves, projected dimensions, bits a dimension, and rows on each side of a vector along a curve it is compared with.
-CURVES, DIMS, BITS, WINDOW = 12, 10, 6, 192
+CURVES, DIMS, BITS, WINDOW = 18, 10, 6, 256
 SEED = 20240517
+#: Rows of a block that are compared at once, and how far single precision may be off.
+STEP, SLACK = 256, 1e-5
 
 
 def usable_vectors(df: DataFrame, ident: str, vector: str, time: str, size: int) -> DataFrame:
@@ -112,21 +114,23 @@ def nearest(
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(cur: np.ndarray, cls: np.ndarray, u: np.ndarray, begin: int, end: int) -> pa.RecordBatch | None:
-            """Neighbours of the rows [begin, end) among all rows given."""
-            q, t, w, step = [], [], [], 256
-            for a in range(begin, end, step):
-                z = min(end, a + step)
+            """Near rows of the rows [begin, end) among all rows given: screened in single, computed in double precision."""
+            f = u.astype(np.float32)
+            q, t, w = [], [], []
+            for a in range(begin, end, STEP):
+                z = min(end, a + STEP)
                 lo, hi = max(0, a - window), min(len(u), z + window)
-                sim = u[a:z] @ u[lo:hi].T
-                i, j = np.arange(a, z)[:, None], np.arange(lo, hi)[None, :]
-                sim[(np.abs(i - j) > window) | (i == j) | (cur[a:z, None] != cur[None, lo:hi])] = -2
-                many = min(k, sim.shape[1])
-                best = np.argpartition(-sim, many - 1, axis=1)[:, :many]
-                val = np.take_along_axis(sim, best, 1)
-                # equal cosines at the edge are settled by identifiers later, so all of them stay
-                edge = np.maximum(val.min(1), max(least - 1e-9, -1.5))
-                r, c = np.nonzero(sim >= edge[:, None] - 2e-9)
-                q.append(cls[a:z][r]), t.append(cls[lo:hi][c]), w.append(sim[r, c])
+                sim = f[a:z] @ f[lo:hi].T
+                sim[np.arange(z - a), np.arange(a - lo, z - lo)] = -2
+                if cur[lo] != cur[hi - 1]:
+                    sim[cur[a:z, None] != cur[None, lo:hi]] = -2
+                edge = np.full(z - a, max(least, -1.0) - SLACK, np.float32)
+                # rows with many near ones keep their k best, and with them all that might tie
+                crowded = np.flatnonzero((sim >= edge[:, None]).sum(1) > 4 * k)
+                if len(crowded):
+                    edge[crowded] = np.partition(sim[crowded], sim.shape[1] - k, axis=1)[:, sim.shape[1] - k] - SLACK
+                r, c = np.nonzero(sim >= np.maximum(edge, -1.5)[:, None])
+                q.append(cls[a:z][r]), t.append(cls[lo:hi][c]), w.append(np.einsum("ij,ij->i", u[a:z][r], u[lo:hi][c]))
             if not q:
                 return None
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(q)), pa.array(np.concatenate(t)), pa.array(np.concatenate(w))], ["a", "b", "w"])
