@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagelink.operators.features import let
 from passagelink.session import materialize
 
 #: Curves, projected dimensions, bits a dimension, and rows on each side of a vector along a curve it is compared with.
@@ -89,9 +90,9 @@ def nearest(
     curves are merged, copies expanded, and the k best kept. What is lost is what no curve brings near.
     """
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = F.transform("v", lambda x: (x.cast("double") / F.col("n")))
     # one class: directions equal to 9 decimals in every coordinate
-    members = vectors.withColumn("n", norm).withColumn("u", unit).withColumn("cls", F.xxhash64(F.transform("u", lambda x: F.round(x * 1e9).cast("bigint")))).select("id", "cls", "v")
+    cls = let(norm, lambda n: F.xxhash64(F.transform("v", lambda x: F.round(x.cast("double") / n * 1e9).cast("bigint"))))
+    members = vectors.select("id", cls.alias("cls"), "v")
     first = F.row_number().over(Window.partitionBy("cls").orderBy("id"))
     few = materialize(members.select("cls", "id").withColumn("m", first).filter(F.col("m") <= k + 1))
     reps = members.join(few.filter("m = 1"), ["cls", "id"], "left_semi").select("cls", "v")
