@@ -24,7 +24,8 @@ def benjamini_hochberg(df: DataFrame, p: str, ident: str, family: list[str] | No
     part = Window.partitionBy(*[f"bh_{k}" for k in keys]) if keys else Window.partitionBy(F.lit(0))
     upto = F.sum("k").over(part.orderBy("bh_p").rowsBetween(Window.unboundedPreceding, 0))
     raw = bins.withColumn("upto", upto).withColumn("raw", F.col("bh_p") * F.sum("k").over(part) / F.col("upto"))
-    low = F.min("raw").over(part.orderBy("bh_p").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # downward, as a frame that starts at the current row is computed anew for every row
+    low = F.min("raw").over(part.orderBy(F.desc("bh_p")).rowsBetween(Window.unboundedPreceding, 0))
     out = raw.select(*[f"bh_{k}" for k in keys], "bh_p", F.least(F.lit(1.0), low).alias(q))
     same = F.col(p) == F.col("bh_p")
     for k in keys:

@@ -53,7 +53,8 @@ def nearest_both_sides(events: DataFrame, unit: str, order: str, value: str) ->
     both directions. Adds before, after and agreed (their value where they are equal)."""
     w = Window.partitionBy(unit).orderBy(order)
     before = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(value, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # the other way round, as a frame that runs to the end is computed anew for every row
+    after = F.last(value, ignorenulls=True).over(Window.partitionBy(unit).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1))
     return events.withColumn("before", before).withColumn("after", after).withColumn("agreed", F.when(F.col("before") == F.col("after"), F.col("before")))
 
 
