@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagelink.functions.text import length_bucket, text_words
@@ -10,7 +10,7 @@ from passagelink.operators import detectors as D
 from passagelink.operators import features as X
 from passagelink.operators import retrieval as R
 from passagelink.queries import register
-from passagelink.session import table
+from passagelink.session import materialize, table
 
 #: Features of more documents than this don't propose pairs; proposals are the reference's cost bound, not an escape from skew.
 DF_CAP, TOP, MIN_COUNT = 50, 10, 5
@@ -370,9 +370,29 @@ def shared_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 @register(_JACCARD + "SELECT a, b, round(score, 9) AS score FROM pr WHERE score >= 0.8")
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """As its SQL twin has it: shared words count only up to DF_CAP documents, so pairs of common words are missed. All
+    pairs are in ``near_duplicates_whole``."""
     return D.jaccard_pairs(post(spark, d), DF_CAP).filter("score >= 0.8").select("a", "b", F.round("score", 9).alias("score"))
 
 
+def _classes(s: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with equal arrays ``key`` as one: members(pid, cls), and the rows of ``s`` whose pid stands for its class.
+    Both are written once, as the words of a text are dear."""
+    s = materialize(s.withColumn("h", F.sha2(F.array_join(key, X.SEP), 256)))
+    members = materialize(s.join(s.groupBy("h").agg(F.min("pid").alias("cls")), "h").select("pid", "cls"))
+    return members, s.join(members.filter("pid = cls").select("pid"), "pid", "left_semi").drop("h")
+
+
+@register(_JACCARD.replace(_CAPPED, ", c AS (SELECT * FROM post)") + "SELECT a, b, round(score, 9) AS score FROM pr WHERE score >= 0.8")
+def near_duplicates_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of documents whose word sets have a Jaccard similarity of at least 0.8, over all words. Equal sets are
+    one class; classes are joined by prefixes without a limit on document frequency and verified on the whole sets."""
+    s = seqs(spark, d).select("pid", F.array_sort(F.array_distinct("seq")).alias("tokens"))
+    members, sets = _classes(s, "tokens")
+    pairs = D.similar_sets(sets, 0.8).withColumn("score", F.round("score", 9))
+    return D.expand_classes(members, pairs, score=F.lit(1.0))
+
+
 @register("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS class_size FROM documents WHERE text IS NOT NULL")
 def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """One row per document: the smallest document with the same text, and how many there are. Classes are counted by
