@@ -5,7 +5,7 @@ Where tables hold no annotation, a stand-in is derived from the words and named
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagelink.functions import text as X
@@ -22,7 +22,7 @@ from passagelink.operators.streams import pair_stratum
 from passagelink.queries import register
 from passagelink.queries import analysis as A
 from passagelink.queries import lexical as L
-from passagelink.session import table
+from passagelink.session import materialize, table
 
 _WORDS = f"WITH {L.TOK}, ws AS (SELECT DISTINCT word FROM tok)"
 
@@ -255,14 +255,22 @@ def detector_rows(spark: SparkSession, d: str) -> DataFrame:
 # --- evidence
 
 
+def _annotations(seq: Column) -> dict[str, Column]:
+    """Stand-in annotations of a text's words: word-length classes (pos), last letters (morph, domain), words as lemmas, stems of four letters as roots."""
+    pos, tail = F.transform(seq, lambda w: F.concat(F.lit("L"), F.least(F.length(w), F.lit(9)).cast("string"))), F.transform(seq, lambda w: F.right(w, F.lit(2)))
+    return {"pos": pos, "morph": tail, "domains": F.array_distinct(tail), "lemmas": seq, "roots": F.transform(seq, lambda w: F.left(w, F.lit(4))), "frames": F.transform(seq, lambda w: F.concat(F.lit("event:"), F.left(w, F.lit(1)))), "participants": F.filter(seq, lambda w: F.length(w) >= 9), "entities": F.filter(seq, lambda w: F.length(w) >= 11)}
+
+
 def _annotated(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of documents with stand-in annotations: word-length classes (pos), last letters (morph, domain), words as lemmas, stems of four letters as roots."""
-    s = L.seqs(spark, d).withColumn("seq", F.slice("seq", 1, 400))
-    pos, tail = F.transform("seq", lambda w: F.concat(F.lit("L"), F.least(F.length(w), F.lit(9)).cast("string"))), F.transform("seq", lambda w: F.right(w, F.lit(2)))
-    cols = {"pos": pos, "morph": tail, "domains": F.array_distinct(tail), "lemmas": F.col("seq"), "roots": F.transform("seq", lambda w: F.left(w, F.lit(4))), "frames": F.transform("seq", lambda w: F.concat(F.lit("event:"), F.left(w, F.lit(1)))), "participants": F.filter("seq", lambda w: F.length(w) >= 9), "entities": F.filter("seq", lambda w: F.length(w) >= 11)}
-    side = lambda n: s.select(F.col("pid").alias(n), *[c.alias(f"{k}_{n}") for k, c in cols.items()])
-    pairs = R.neighbour_pairs(R.top_k(R.both_ways(D.rare_pairs(L.post(spark, d))), 1))
-    return pairs.join(side("a"), "a").join(side("b"), "b")
+    """Pairs of documents with stand-in annotations of their whole texts, of any length."""
+    # words are joined and annotated afterwards, as annotations are several times their size
+    s = L.seqs(spark, d)
+    pairs = materialize(R.neighbour_pairs(R.top_k(R.both_ways(D.rare_pairs(L.post(spark, d))), 1)))
+    used = pairs.select(F.explode(F.array("a", "b")).alias("pid")).distinct()
+    s = materialize(s.join(used, "pid", "left_semi"))
+    side = lambda n: s.select(F.col("pid").alias(n), F.col("seq").alias(f"seq_{n}"))
+    x = pairs.join(side("a"), "a").join(side("b"), "b")
+    return x.select("a", "b", *[c.alias(f"{k}_{n}") for n in "ab" for k, c in _annotations(F.col(f"seq_{n}")).items()])
 
 
 @register()

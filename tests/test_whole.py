@@ -30,3 +30,14 @@ def test_near_duplicates_of_common_words(spark, folder):
     docs += [(100 + i, words(*range(20)), "en", "s") for i in range(3)] + [(200, words(*range(19)), "en", "s"), (201, None, "en", "s"), (202, None, "en", "s")]
     got = {(r.a, r.b): r.score for r in L.near_duplicates_whole(spark, folder(documents=(docs, DOCS))).collect()}
     assert got == {(100, 101): 1.0, (100, 102): 1.0, (101, 102): 1.0, (100, 200): 0.95, (101, 200): 0.95, (102, 200): 0.95}
+
+
+def test_evidence_reads_whole_texts(spark, folder):
+    # two texts that agree up to word 450, where one goes on with two rare words of the other in the other order
+    same, first, second = words(*range(450)), "abcdefghijkl", "mnopqrstuvwx"
+    docs = [(1, f"{same} {first} {second} rarity", "en", "s"), (2, f"{same} {second} {first} rarity", "en", "s")]
+    d = folder(documents=(docs, DOCS))
+    s = M.structure_evidence(spark, d).collect()
+    assert [(r.a, r.b, r.role_reversal) for r in s] == [(1, 2, True)] and s[0].structure_score < 1
+    assert M.semantic_evidence(spark, d).first().sequence_score < 1
+    assert M.grammar_evidence(spark, d).first().grammar_score < 1
