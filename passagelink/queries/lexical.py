@@ -419,9 +419,15 @@ def lcs_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 @register()
 def edit_distance_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Proposed pairs with their token edit distance and whether they are near-exact copies."""
+    """Proposed pairs and all near-exact copies, with their token edit distance and whether they are near-exact copies.
+
+    The copies come from an exact join of whole texts, equal texts being one class; no proposal is asked for them.
+    """
+    members, texts = _classes(seqs(spark, d), "seq")
+    found = D.expand_classes(members, D.similar_sequences(texts, 0.95), edits=F.lit(0)).withColumn("near_exact", F.lit(True))
     x = _proposed(spark, d).withColumn("edits", D.token_edits("sa", "sb"))
-    return x.select("a", "b", "edits", D.near_exact(F.col("edits"), F.col("sa"), F.col("sb")).alias("near_exact"))
+    x = x.select("a", "b", "edits", D.near_exact(F.col("edits"), F.col("sa"), F.col("sb")).alias("near_exact"))
+    return found.unionByName(x.filter("not near_exact"))
 
 
 @register()

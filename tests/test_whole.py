@@ -41,3 +41,15 @@ def test_evidence_reads_whole_texts(spark, folder):
     assert [(r.a, r.b, r.role_reversal) for r in s] == [(1, 2, True)] and s[0].structure_score < 1
     assert M.semantic_evidence(spark, d).first().sequence_score < 1
     assert M.grammar_evidence(spark, d).first().grammar_score < 1
+
+
+def test_edit_distance_of_all_copies(spark, folder):
+    # no word is rare; the last text differs by one of 20 words, repeated words count apart
+    t = words(*range(19), 3)
+    docs = [(i, t, "en", "s") for i in range(4)] + [(10 + i, words(*range(18), 3, 40 + i // 5), "en", "s") for i in range(5)] + [(20 + i, words(*range(30, 45)), "en", "s") for i in range(4)]
+    rows = L.edit_distance_pairs(spark, folder(documents=(docs, DOCS))).collect()
+    seqs = {i: x.split() for i, x, *_ in docs}
+    want = {(a, b): L.D.edit_distance(seqs[a], seqs[b]) for a in seqs for b in seqs if a < b}
+    want = {k: e for k, e in want.items() if 1 - e / max(len(seqs[k[0]]), len(seqs[k[1]])) >= 0.95}
+    assert {(r.a, r.b): r.edits for r in rows if r.near_exact} == want and len(want) >= 22
+    assert len(rows) == len({(r.a, r.b) for r in rows})
