@@ -163,6 +163,7 @@ def replicate_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _negative_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Verses, templates, known links, and the distinct tokens of the verses."""
     from passagelink.functions.identity import hash_split
     from passagelink.queries.passages import verses
 
@@ -173,19 +174,20 @@ def _negative_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame,
     known = c.select(F.least("passage_a_id", "passage_b_id").alias("a"), F.greatest("passage_a_id", "passage_b_id").alias("b")).distinct()
     templates = known.join(p.select(F.col("pid").alias("a")), "a", "left_semi").join(p.select(F.col("pid").alias("b")), "b", "left_semi").select(pair_id("T_", F.col("a"), F.col("b")).alias("template"), "a", "b")
     m = table(spark, d, "passage_membership").select(F.col("passage_id").alias("pid"), F.col("token_id").alias("feature")).filter("feature is not null").distinct().join(p.select("pid"), "pid", "left_semi")
-    overlaps = D.shared(m, 200, ()).select("a", "b").distinct()
-    return p, templates, known, overlaps
+    return p, templates, known, m
 
 
 @register()
 def presumed_negatives(spark: SparkSession, d: str) -> DataFrame:
     """Unlinked verses near in length, one for each template link, first in hash order; contract is unit-tested."""
-    return B.presumed_negatives(*_negative_inputs(spark, d), "length_matched_random_unlinked", 5)
+    p, templates, known, m = _negative_inputs(spark, d)
+    return B.presumed_negatives(p, templates, known, None, "length_matched_random_unlinked", 5, tokens=m)
 
 
 @register()
 def nearby_negatives(spark: SparkSession, d: str) -> DataFrame:
-    return B.presumed_negatives(*_negative_inputs(spark, d), "nearby_context_unlinked", 5)
+    p, templates, known, m = _negative_inputs(spark, d)
+    return B.presumed_negatives(p, templates, known, None, "nearby_context_unlinked", 5, tokens=m)
 
 
 @register()

@@ -53,3 +53,18 @@ def test_edit_distance_of_all_copies(spark, folder):
     want = {k: e for k, e in want.items() if 1 - e / max(len(seqs[k[0]]), len(seqs[k[1]])) >= 0.95}
     assert {(r.a, r.b): r.edits for r in rows if r.near_exact} == want and len(want) >= 22
     assert len(rows) == len({(r.a, r.b) for r in rows})
+
+
+def test_negatives_share_no_common_token(spark, folder):
+    # all verses but three hold one token, which is of far more than 200 passages
+    n = 240
+    passages = [(f"p{i:03d}", "HB", "Gen", "edition_complete", "", "verse", f"Gen 1:{i + 1}", f"Gen 1:{i + 1}", 10) for i in range(n)]
+    member = [(f"p{i:03d}", "hot") for i in range(n) if i not in (3, 4, 5)] + [(f"p{i:03d}", f"own{i}") for i in range(n)]
+    d = folder(
+        passages=(passages, "passage_id string, corpus string, book string, analysis_profile string, analysis_reading string, granularity string, start_reference string, end_reference string, token_count bigint"),
+        candidate_pairs=([("c", "p001", "p002"), ("d", "p006", "p007")], "candidate_pair_id string, passage_a_id string, passage_b_id string"),
+        passage_membership=(member, "passage_id string, token_id string"),
+    )
+    for q in (M.presumed_negatives, M.nearby_negatives):
+        got = q(spark, d).collect()
+        assert len(got) == 2 and all({r.a, r.b} & {"p003", "p004", "p005"} for r in got)
