@@ -289,8 +289,9 @@ def semantic_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 @register()
 def grammar_evidence(spark: SparkSession, d: str) -> DataFrame:
-    x = _annotated(spark, d)
-    freq = E.grammar_frequencies(x.select(F.col("a").alias("pid"), F.col("pos_a").alias("pos"), F.col("morph_a").alias("morph")))
+    """Grammatical evidence of proposed pairs; a feature is rare by its frequency over all documents."""
+    x, every = _annotated(spark, d), _annotations(F.col("seq"))
+    freq = E.grammar_frequencies(L.seqs(spark, d).select("pid", every["pos"].alias("pos"), every["morph"].alias("morph")))
     return E.grammar_evidence(x, freq, 3).select("a", "b", F.round("grammar_score", 9).alias("grammar_score"), F.round("rare_score", 9).alias("rare_score"))
 
 

@@ -68,3 +68,11 @@ def test_negatives_share_no_common_token(spark, folder):
     for q in (M.presumed_negatives, M.nearby_negatives):
         got = q(spark, d).collect()
         assert len(got) == 2 and all({r.a, r.b} & {"p003", "p004", "p005"} for r in got)
+
+
+def test_grammar_frequencies_of_all_documents(spark, folder):
+    # the pair's annotations are those of ten more texts of other words, so none of its features is rare
+    docs = [(1, "aab bbc rareword", "en", "s"), (2, "aab bbc rareword", "en", "s")]
+    docs += [(10 + i, f"{c}ab {c}bc {c * 6}rd", "en", "s") for i, c in enumerate("efghijklmn")]
+    got = M.grammar_evidence(spark, folder(documents=(docs, DOCS))).collect()
+    assert [(r.a, r.b, r.rare_score) for r in got] == [(1, 2, 0.0)]
