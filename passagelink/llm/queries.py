@@ -51,8 +51,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
-    sets, _ = _sets(spark, d)
-    out = setsim.set_classes(sets, setsim.similar_sets(sets, SET_SIMILARITY))
+    sets, wide = _sets(spark, d)
+    out = setsim.set_classes(sets, setsim.similar_sets(sets, SET_SIMILARITY), setsim.large_pairs(sets, wide, SET_SIMILARITY))
     return out.select(F.col("part").alias("basis"), F.col("rid").alias("passage_id"), "class_id", "class_size", "similar_classes")
 
 

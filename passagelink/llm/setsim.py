@@ -116,16 +116,21 @@ def similar_sets(sets: DataFrame, threshold: float, trees: int = TREES, node_row
 
 
 def similar_large(sets: DataFrame, wide: DataFrame, threshold: float, large: int = LARGE_SET) -> DataFrame:
+    """``large_pairs()`` without the column equal."""
+    return large_pairs(sets, wide, threshold, large).drop("equal")
+
+
+def large_pairs(sets: DataFrame, wide: DataFrame, threshold: float, large: int = LARGE_SET) -> DataFrame:
     """Pairs of records of which at least one has a large set, exactly: shared values are counted, not held in a row.
 
     Only sets of at least ``threshold * large`` values can be partners, and of those a table has at most its rows
-    divided by that. Columns out: part, lo, hi (records, lo < hi).
+    divided by that. Columns out: part, lo, hi (records, lo < hi), equal (whether the sets are).
     """
     near = sets.filter(F.col("tokens").isNotNull() & (F.col("n") >= threshold * large)).select("part", "rid", F.col("n").cast("bigint").alias("n"), F.explode("tokens").alias("v"))
     rest = near.unionByName(wide).select("part", F.col("rid").alias("rid2"), F.col("n").alias("n2"), "v")
     shared = wide.join(rest, ["part", "v"]).filter("rid <> rid2").groupBy("part", "rid", "n", "rid2", "n2").agg(F.count("*").alias("k"))
     alike = shared.filter(F.col("k") >= F.lit(threshold) * (F.col("n") + F.col("n2") - F.col("k")) - 1e-9)
-    return alike.select("part", F.least("rid", "rid2").alias("lo"), F.greatest("rid", "rid2").alias("hi")).distinct()
+    return alike.select("part", F.least("rid", "rid2").alias("lo"), F.greatest("rid", "rid2").alias("hi"), ((F.col("k") == F.col("n")) & (F.col("k") == F.col("n2"))).alias("equal")).distinct()
 
 
 def expand_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -139,12 +144,26 @@ def expand_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return other.unionByName(same)
 
 
-def set_classes(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def set_classes(sets: DataFrame, pairs: DataFrame, large: DataFrame | None = None) -> DataFrame:
     """One row for each record: its class of equal sets, the class's size, and how many other classes it is similar to.
 
-    Columns out: part, rid, class_id (smallest record of the class), class_size, similar_classes.
+    large: ``large_pairs()``, for the records whose sets aren't held in a row; equal large sets
+    are one class. Columns out: part, rid, class_id (smallest record of the class), class_size, similar_classes.
     """
-    cls = sets.groupBy("h", "h2").agg(F.min("rid").alias("class_id"), F.count("*").alias("class_size"))
-    ends = pairs.select(F.col("ha").alias("h"), F.col("ha2").alias("h2")).unionByName(pairs.select(F.col("hb").alias("h"), F.col("hb2").alias("h2")))
-    cls = cls.join(ends.groupBy("h", "h2").agg(F.count("*").alias("k")), ["h", "h2"], "left")
-    return sets.select("part", "rid", "h", "h2").join(cls, ["h", "h2"]).select("part", "rid", "class_id", "class_size", F.coalesce("k", F.lit(0)).alias("similar_classes"))
+    m = sets.select("part", "rid", "h", "h2")
+    if large is None:
+        named = m.withColumns({"c": F.col("h"), "c2": F.col("h2")})
+    else:
+        # equality is transitive, so the smallest record equal to one, or itself, names the class
+        same = large.filter("equal").groupBy("part", F.col("hi").alias("rid")).agg(F.min("lo").alias("least"))
+        head = m.join(same, ["part", "rid"], "left").withColumn("least", F.coalesce("least", "rid"))
+        named = head.join(m.select("part", F.col("rid").alias("least"), F.col("h").alias("c"), F.col("h2").alias("c2")), ["part", "least"])
+    cls = named.groupBy("c", "c2").agg(F.min("rid").alias("class_id"), F.count("*").alias("class_size"))
+    ends = pairs.select(F.col("ha").alias("c"), F.col("ha2").alias("c2")).unionByName(pairs.select(F.col("hb").alias("c"), F.col("hb2").alias("c2")))
+    if large is not None:
+        side = lambda r, s: named.select("part", F.col("rid").alias(r), F.col("c").alias(f"{s}1"), F.col("c2").alias(f"{s}2"))
+        far = large.filter("not equal").join(side("lo", "a"), ["part", "lo"]).join(side("hi", "b"), ["part", "hi"])
+        both = far.select("a1", "a2", "b1", "b2").unionByName(far.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2"))).distinct()
+        ends = ends.unionByName(both.select(F.col("a1").alias("c"), F.col("a2").alias("c2")))
+    cls = cls.join(ends.groupBy("c", "c2").agg(F.count("*").alias("k")), ["c", "c2"], "left")
+    return named.select("part", "rid", "c", "c2").join(cls, ["c", "c2"]).select("part", "rid", "class_id", "class_size", F.coalesce("k", F.lit(0)).alias("similar_classes"))

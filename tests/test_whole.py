@@ -76,3 +76,19 @@ def test_grammar_frequencies_of_all_documents(spark, folder):
     docs += [(10 + i, f"{c}ab {c}bc {c * 6}rd", "en", "s") for i, c in enumerate("efghijklmn")]
     got = M.grammar_evidence(spark, folder(documents=(docs, DOCS))).collect()
     assert [(r.a, r.b, r.rare_score) for r in got] == [(1, 2, 0.0)]
+
+
+def test_set_classes_of_large_sets(spark):
+    from passagelink.llm import setsim as S
+
+    groups = {"a": range(20), "b": range(20), "c": range(1, 20), "d": range(18), "e": range(100, 112), "f": range(100, 112), "g": range(100, 111), "h": range(200, 203)}
+    df = spark.createDataFrame([(r, f"v{v}") for r, vs in groups.items() for v in vs], "r string, v string")
+
+    def classes(large: int) -> list:
+        sets, wide = S.value_sets(df, "r", "v", 3, "x", large)
+        return sorted(S.set_classes(sets, S.similar_sets(sets, 0.7), S.large_pairs(sets, wide, 0.7, large)).collect())
+
+    want = classes(1000)
+    assert [(x.rid, x.class_id, x.class_size, x.similar_classes) for x in want[:3]] == [("a", "a", 2, 2), ("b", "a", 2, 2), ("c", "c", 1, 2)]
+    for large in (5, 11, 17, 18, 19):
+        assert classes(large) == want
