@@ -69,7 +69,8 @@ _STREET = re.compile(
 )
 #: Pieces of lower-case text beside which a street is looked for, and how far around them.
 _STREET_HINTS = (
-    "rue ", "rue\n", " street", " road", " avenue", " hill", " close", " row", " lane", " way", " drive", " square", " court", " st.", " st,", " st\n", " rd", " ave", " ln", " dr.",
+    "rue ", "rue\n", " street", " road", " avenue", " hill", " close", " row", " lane", " way", " drive", " square", " court", " st", " rd", " ave", " ln", " dr",
+    "\nst", "\nrd", "\nave", "\nln", "\ndr", "\nway", "\ndrive", "\nsquare", "\ncourt",
     "\nstreet", "\nroad", "\navenue", "\nhill", "\nclose", "\nrow", "\nlane", "berg ", "berg\n", "straße ", "strasse ", "str. ", "gasse ", "weg ", "platz ", "allee ", "straße\n", "str.\n", "gasse\n", "weg\n",
 )
 _REACH = 90
@@ -83,8 +84,8 @@ _FAMILY = rf"{_N}(?:-{_N})*"
 _NAME = rf"(?:{_N}(?:-{_N})?\s(?:{_I}\s){{0,2}}{_PARTICLE}{_FAMILY}|{_FAMILY},\s{_N}(?:\s{_I})?|(?:{_I}\s?){{1,3}}\s?{_PARTICLE}{_FAMILY})"
 _TITLE = r"(?:(?i:dr|prof|mr|mrs|ms|herr|herrn|frau|sir|dame|rev|fr)\b\.?\s)"
 _LED_HINTS = (
-    "contact person", "contact\nperson", "reviewer", "author", "signed,", "signed:", "signiert", "geprüft", "reviewed", "checked by", "thanks to", "thanks\nto", "dank an", "my colleague", "my\ncolleague", "kollege ", "kollegin ", "i met", "i\nmet",
-    "geehrte", "liebe", "dear", "dr. ", "dr ", "dr.\n", "prof. ", "prof ", "prof.\n", "mr. ", "mr ", "mrs. ", "mrs ", "ms. ", "ms ", "herr", "frau", "sir ", "dame ", "rev. ", "fr. ",
+    "contact", "reviewer", "author", "signed", "signiert", "geprüft", "reviewed", "checked", "thanks", "dank", "colleague", "kolleg", " met", "geehrte", "liebe", "dear",
+    "dr ", "dr.", "prof ", "prof.", "mr ", "mr.", "mrs ", "mrs.", "ms ", "ms.", "herr", "frau", "sir ", "sir.", "dame ", "dame.", "rev ", "rev.", "fr ", "fr.",
 )
 _LED = re.compile(
     rf"(?:(?i:\b(?:contact\s+person|reviewer|author|signed|signiert|geprüft\s+von|reviewed\s+by|checked\s+by|thanks\s+to|dank\s+an|my\s+colleague|meine?\s+kolleg(?:e|in)|i\s+met|sehr\s+geehrte[r]?)[\"']?\s?[:=,]?\s?[\"']?){_TITLE}*|\b{_TITLE}+|(?i:\b(?:dear|liebe[r]?)\s)(?!\w+,))"
@@ -142,14 +143,18 @@ def _streets(t: str, low: str) -> Iterator[re.Match]:
     end = 0
     for i in sorted(spots):
         begin = max(end, i - _REACH)
-        for m in _STREET.finditer(t, begin, min(len(t), i + _REACH)):
+        # twice as far, so that no match is cut off at the end
+        for m in _STREET.finditer(t, begin, min(len(t), i + 2 * _REACH)):
+            if m.start() > i + _REACH:
+                break
             yield m
             end = m.end()
 
 
 def _spans(t: str, given: frozenset[str], family: frozenset[str]) -> Iterator[Span]:
     """Proposed spans that score enough, on text without odd characters."""
-    low = t.lower()
+    # of the same length; any white space is a blank in the hints
+    low = re.sub(r"\s", " ", t.lower())
     if _has(low, _MAIL_HINTS):
         for m in _MAIL.finditer(t):
             yield Span("email", *m.span("v"))

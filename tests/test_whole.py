@@ -92,3 +92,10 @@ def test_set_classes_of_large_sets(spark):
     assert [(x.rid, x.class_id, x.class_size, x.similar_classes) for x in want[:3]] == [("a", "a", 2, 2), ("b", "a", 2, 2), ("c", "c", 1, 2)]
     for large in (5, 11, 17, 18, 19):
         assert classes(large) == want
+
+
+def test_hints_reject_nothing_that_the_patterns_accept():
+    from passagelink.llm import pii
+
+    for text, kind in (("signed Anna Bell", "person"), ("and Rev Thomas Hale", "person"), ("at 12 Mill St London", "address"), ("at 12 Mill\nRd in town", "address"), ("at 12 Mill\nDrive in town", "address"), ("at 12 Mill\tRd in town", "address"), ("i  met\tAnna Bell", "person"), ("mr\nThomas Hale", "person")):
+        assert kind in [s.kind for s in pii.find(text)], text
