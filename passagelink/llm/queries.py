@@ -57,11 +57,11 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.usable_vectors(table(spark, d, "passage_vectors"), "passage_id", "embedding", "embedded_at", VECTOR_SIZE)
+    return table(spark, d, "passage_vectors").select(F.col("passage_id").alias("id"), F.col("embedded_at").alias("t"), F.col("embedding").alias("v"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.nearest(_vectors(spark, d), NEAREST, VECTOR_SIZE, LEAST_COSINE).select("query_id", "target_id")
+    return vectors.nearest(_vectors(spark, d), NEAREST, VECTOR_SIZE, LEAST_COSINE, exact=False).select("query_id", "target_id")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

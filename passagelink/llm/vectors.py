@@ -5,19 +5,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagelink.operators.features import let
-from passagelink.session import materialize
+from passagelink.operators.spread import numbered
+from passagelink.session import materialize, shuffle_width
 
 #: Curves, projected dimensions, bits a dimension, and rows on each side of a vector along a curve it is compared with.
-CURVES, DIMS, BITS, WINDOW = 18, 10, 6, 256
+CURVES, DIMS, BITS, WINDOW = 4, 8, 6, 4096
 SEED = 20240517
-#: Rows of a block that are compared at once, and how far single precision may be off.
-STEP, SLACK = 256, 1e-5
+#: Rows of a tile of a curve, and tiles at most, whose borders every task holds (20 bytes each); beyond, tiles grow.
+TILE, TILES = 16_384, 65_536
+#: Rows of a block that are compared at once.
+STEP = 256
+#: How far a cosine of vectors rounded to 16 bits may be off; rounding spreads a tenth of that.
+SLACK = 5e-5
+#: Columns of the rows of a batch, and their Arrow type.
+_LONG, _FLOAT = pa.int64(), pa.float32()
 
 
 def usable_vectors(df: DataFrame, ident: str, vector: str, time: str, size: int) -> DataFrame:
@@ -68,93 +74,223 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _frames(size: int, curves: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """A random projection and a random shift for each curve; the same on every run."""
+    """A random projection with orthonormal directions and a random shift for each curve; the same on every run."""
     rng = np.random.default_rng(SEED)
-    return rng.standard_normal((curves, size, dims)) / np.sqrt(dims), rng.random((curves, dims))
+    return np.stack([np.linalg.qr(rng.standard_normal((size, size)))[0][:, :dims] for _ in range(curves)]), rng.random((curves, dims))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mix of every number (the finalizer of splitmix64)."""
+    x = x.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _row_hash(x: np.ndarray) -> np.ndarray:
+    """A hash of every row of an array of integers."""
+    with np.errstate(over="ignore"):
+        at = np.arange(1, x.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return _mixed(_mixed(x.astype(np.int64).view(np.uint64) + at).sum(1, dtype=np.uint64)).view(np.int64)
+
+
+def _usable(b: pa.RecordBatch, size: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The rows of a batch with an identifier and a usable vector (column v), and those vectors."""
+    v, ident = b.column("v"), b.column("id")
+    n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(v), -1))
+    pick = np.flatnonzero((n == size) & np.asarray(ident.is_valid()))
+    b = b.take(pa.array(pick))
+    raw = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, size)
+    fine = np.flatnonzero(np.isfinite(raw).all(1) & (raw != 0).any(1))
+    return b.take(pa.array(fine)), raw[fine]
+
+
+def _units(raw: np.ndarray) -> np.ndarray:
+    d = raw.astype(np.float64)
+    return d / np.linalg.norm(d, axis=1, keepdims=True)
+
+
+def _blobs(x: np.ndarray) -> pa.Array:
+    """The rows of an array as binary values."""
+    x = np.ascontiguousarray(x)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.itemsize * x.shape[1]), len(x), [None, pa.py_buffer(x)]).cast(pa.binary())
+
+
+def _array(blobs: pa.Array, kind: type, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs.to_pylist()), kind).reshape(-1, size)
+
+
+def _dot(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
+
+
+def _near_rows(u: np.ndarray, begin: int, end: int, own: int, k: int, least: float, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows near the rows [begin, end) of a tile, and their cosines: of each row the k best in its window and all that may tie.
+
+    Rows from ``own`` on are the next tile's; they look back at this tile's rows only.
+    """
+    lo, hi = max(0, begin - window), min(len(u), end + window) if begin < own else own
+    sim = u[begin:end] @ u[lo:hi].T
+    both = np.arange(max(begin, lo), min(end, hi))
+    sim[both - begin, both - lo] = -2
+    edge = np.full(end - begin, max(least, -1.0) - SLACK, np.float32)
+    # the k-th of the highest values of k or more parts of a row is no more than the k-th of the row
+    parts = max(k, 64)
+    if wide := sim.shape[1] // parts:
+        top = sim[:, : wide * parts].reshape(end - begin, parts, wide).max(2)
+        edge = np.maximum(edge, np.partition(top, parts - k, axis=1)[:, parts - k] - 2 * SLACK)
+    r, c = np.nonzero(sim >= np.maximum(edge, -1.5)[:, None])
+    w = sim[r, c]
+    # of those the k best again, now of all of the row
+    order = np.argsort(r + (1 - w.astype(np.float64)) / 4, kind="stable")
+    r, c, w = r[order], c[order], w[order]
+    first = np.searchsorted(r, np.arange(end - begin))
+    last = np.minimum(first + k - 1, len(r) - 1)[r]
+    keep = (np.arange(len(r)) - first[r] < k) | (w >= w[last] - 2 * SLACK)
+    return begin + r[keep], lo + c[keep], w[keep]
 
 
 def nearest(
-    vectors: DataFrame, k: int, size: int, least: float = -1.0, queries: DataFrame | None = None,
-    curves: int = CURVES, dims: int = DIMS, bits: int = BITS, window: int = WINDOW,
+    rows: DataFrame, k: int, size: int, least: float = -1.0, queries: DataFrame | None = None, exact: bool = True,
+    curves: int = CURVES, dims: int = DIMS, bits: int = BITS, window: int = WINDOW, tile: int = TILE,
 ) -> DataFrame:
-    """For every vector of ``vectors(id, v)`` the k most similar others by cosine, of those with at least ``least``.
+    """For every vector of ``rows(id, t, v)`` the k most similar others by cosine, of those with at least ``least``.
+
+    Columns out: query_id, target_id, cosine_similarity, rank (by cosine downward, equal ones by smaller target_id).
+    ``queries(id)`` restricts whose neighbours are wanted. An identifier counts with its usable vector of latest ``t``
+    (null: earliest); equal times are decided by a hash of the vector. Usable are ``size`` finite numbers, not all
+    zero; null identifiers and all other vectors are left out. A collection of one vector or none gives no rows.
 
-    Columns out: query_id, target_id, cosine_similarity (double precision, rounded to 9 decimals), rank (by cosine
-    downward, equal ones by smaller target_id). ``queries(id)`` restricts whose neighbours are wanted. Identifiers must
-    be unique; ``usable_vectors()`` gives such a table. A collection of one vector or none gives no rows.
+    Directions that several vectors share are one class, equal to 9 decimals in every coordinate: its k + 1 smallest
+    members stand for it, so any number of copies costs as much as one vector. Each class is projected, shifted and
+    placed on several Hilbert curves; ties along a curve are in order of a hash. A curve is cut into tiles of ``tile``
+    rows, a tile gets the next one's first ``window`` rows beside its own, and within it every vector meets the
+    ``window`` rows on both sides. So the result does not depend on how Spark partitions the rows; what is lost is what
+    no curve brings near.
 
-    Directions that several vectors share are one class: its k + 1 smallest members stand for it, so any number of
-    copies costs as much as one vector. Each class is projected, shifted and placed on several Hilbert curves; all
-    curves are range-partitioned and sorted by (curve, position), and within a partition each vector meets the
-    ``window`` neighbours on both sides. The cosine is computed there from the vectors themselves. Windows of the
-    curves are merged, copies expanded, and the k best kept. What is lost is what no curve brings near.
+    Vectors move once to their classes and once to each of their tiles, rounded to 16 bits. The tiles' results are
+    merged and reranked: where rounding leaves the order or the threshold open, the vectors themselves decide, in double
+    precision, rounded to 9 decimals. ``exact`` computes every cosine that way; otherwise those that rounding leaves no
+    doubt about stay as they are, within 5e-5, which changes no pair and no rank.
     """
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    # one class: directions equal to 9 decimals in every coordinate
-    cls = let(norm, lambda n: F.xxhash64(F.transform("v", lambda x: F.round(x.cast("double") / n * 1e9).cast("bigint"))))
-    members = vectors.select("id", cls.alias("cls"), "v")
-    first = F.row_number().over(Window.partitionBy("cls").orderBy("id"))
-    few = materialize(members.select("cls", "id").withColumn("m", first).filter(F.col("m") <= k + 1))
-    reps = members.join(few.filter("m = 1"), ["cls", "id"], "left_semi").select("cls", "v")
+    spark = rows.sparkSession
     mats, shifts = _frames(size, curves, dims)
+    tie = 63 - dims * bits  # bits left for the hash that orders ties
+    names = [f"k{c}" for c in range(curves)]
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b, raw = _usable(b, size)
+            u = _units(raw)
+            cls = _row_hash(np.rint(u * 1e9))
+            keys = []
+            for c in range(curves):
+                # coordinates of projected unit vectors spread as 1/sqrt(size); three deviations to each side fill the cells
+                z = (u @ mats[c] * np.sqrt(size) + 3 + shifts[c]) / 7 * (1 << bits)
+                keys.append((hilbert_keys(np.clip(z.astype(np.int64), 0, (1 << bits) - 1), bits) << tie) | (cls & ((1 << tie) - 1)))
+            cols = [b.column("id"), b.column("t"), pa.array(_row_hash(raw.view(np.int32))), pa.array(cls), *map(pa.array, keys)]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "t", "vh", "cls", *names])
+
+    rows = rows.select(F.col("id").cast("string").alias("id"), "t", F.col("v").cast("array<float>").alias("v"))
+    kind = rows.schema["t"].dataType.simpleString()
+    told = rows.mapInArrow(describe, f"id string, t {kind}, vh bigint, cls bigint, " + ", ".join(f"{n} bigint" for n in names))
+    # nulls are smallest
+    last = told.groupBy("id").agg(F.max(F.struct("t", "vh", "cls", *names)).alias("m")).select("id", "m.vh", "m.cls", *[f"m.{n}" for n in names])
+    members = materialize(last)
+    few = materialize(members.withColumn("m", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).filter(F.col("m") <= k + 1))
+    reps = few.filter("m = 1").select("id", "vh", "cls", *names)
+
+    # borders of the tiles: every curve holds each class once, so a class's position on its curve follows from its position among all
+    lined = reps.select(F.posexplode(F.array(*names)).alias("curve", "key"))
+    n = reps.count()
+    long = max(tile, window, -(-n * curves // TILES))
+    at = F.col("position") - F.col("curve") * n
+    marks = numbered(lined, "curve", "key").select("curve", "key", F.floor(at / long).alias("tile"), (at % long).alias("in")).filter(F.col("in").isin(0, window - 1))
+    marks = marks.collect()  # two rows a tile, at most 2 * TILES + 2 * curves
+    per = max(1, -(-n // long))
+    starts = [np.array([r.key for r in sorted((r for r in marks if r.curve == c and r["in"] == 0), key=lambda r: r.tile)], np.int64) for c in range(curves)]
+    halos = [np.full(per, 2**63 - 1, np.int64) for _ in range(curves)]
+    for r in marks:
+        if r["in"] == window - 1:
+            halos[r.curve][r.tile] = r.key
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b, raw = _usable(b, size)
+            u = _units(raw)
+            scale = np.abs(u).max(1, keepdims=True)
+            small = np.concatenate([scale.astype(np.float32).view(np.int16), np.rint(u / scale * 32767).astype(np.int16)], 1)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(_row_hash(raw.view(np.int32))), _blobs(small)], ["id", "vh", "v"])
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, size)
-            u = raw / np.linalg.norm(raw.astype(np.float64), axis=1, keepdims=True)
-            blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * size), len(raw), [None, pa.py_buffer(np.ascontiguousarray(raw))]).cast(pa.binary())
             for c in range(curves):
-                # coordinates of projected unit vectors spread as 1/sqrt(dims); three deviations to each side fill the cells
-                z = (u @ mats[c] * np.sqrt(dims) + 3 + shifts[c]) / 7 * (1 << bits)
-                cell = np.clip(z.astype(np.int64), 0, (1 << bits) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), c, np.int32)), pa.array(hilbert_keys(cell, bits)), b.column("cls"), blob], ["curve", "at", "cls", "v"])
+                key = b.column(names[c]).to_numpy(zero_copy_only=False)
+                t = np.maximum(np.searchsorted(starts[c], key, "right") - 1, 0)
+                again = np.flatnonzero((t > 0) & (key <= halos[c][t])) if per else np.empty(0, np.int64)
+                for pick, to, next_one in ((np.arange(len(key)), t, False), (again, t[again] - 1, True)):
+                    cols = [pa.array(c * per + to, _LONG), pa.array(key[pick]), b.column("cls").take(pa.array(pick)), pa.array(np.full(len(pick), next_one)), b.column("v").take(pa.array(pick))]
+                    yield pa.RecordBatch.from_arrays(cols, ["tile", "key", "cls", "next", "v"])
 
-    placed = reps.mapInArrow(place, "curve int, at bigint, cls bigint, v binary")
-    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    lined = placed.repartitionByRange(parts, "curve", "at", "cls").sortWithinPartitions("curve", "at", "cls")
+    placed = rows.mapInArrow(hashed, "id string, vh bigint, v binary").join(reps.hint("shuffle_hash"), ["id", "vh"]).select("cls", *names, "v")
+    placed = placed.mapInArrow(route, "tile bigint, key bigint, cls bigint, next boolean, v binary")
+    width = min(max(per * curves, 1), 16 * shuffle_width(spark))
+    tiles = placed.repartitionById(width, F.pmod("tile", F.lit(width)).cast("int")).sortWithinPartitions("tile", "next", "key", "cls")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(cur: np.ndarray, cls: np.ndarray, u: np.ndarray, begin: int, end: int) -> pa.RecordBatch | None:
-            """Near rows of the rows [begin, end) among all rows given: screened in single, computed in double precision."""
-            f = u.astype(np.float32)
-            q, t, w = [], [], []
-            for a in range(begin, end, STEP):
-                z = min(end, a + STEP)
-                lo, hi = max(0, a - window), min(len(u), z + window)
-                sim = f[a:z] @ f[lo:hi].T
-                sim[np.arange(z - a), np.arange(a - lo, z - lo)] = -2
-                if cur[lo] != cur[hi - 1]:
-                    sim[cur[a:z, None] != cur[None, lo:hi]] = -2
-                edge = np.full(z - a, max(least, -1.0) - SLACK, np.float32)
-                # rows with many near ones keep their k best, and with them all that might tie
-                crowded = np.flatnonzero((sim >= edge[:, None]).sum(1) > 4 * k)
-                if len(crowded):
-                    edge[crowded] = np.partition(sim[crowded], sim.shape[1] - k, axis=1)[:, sim.shape[1] - k] - SLACK
-                r, c = np.nonzero(sim >= np.maximum(edge, -1.5)[:, None])
-                q.append(cls[a:z][r]), t.append(cls[lo:hi][c]), w.append(np.einsum("ij,ij->i", u[a:z][r], u[lo:hi][c]))
-            if not q:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(q)), pa.array(np.concatenate(t)), pa.array(np.concatenate(w))], ["a", "b", "w"])
-
-        cur, cls, u = np.empty(0, np.int32), np.empty(0, np.int64), np.empty((0, size))
-        begin = 0
+        u, cls = np.empty((0, size), np.float32), np.empty(0, np.int64)
+        tile_no, own, begin = -1, 2**62, 0  # own: where the next tile's rows begin
+
+        def near(to: int) -> Iterator[pa.RecordBatch]:
+            nonlocal begin
+            while begin < to:
+                stop = min(begin + STEP, to, own if begin < own else to)
+                q, t, w = _near_rows(u, begin, stop, min(own, len(u)), k, least, window)
+                yield pa.RecordBatch.from_arrays([pa.array(cls[q]), pa.array(cls[t]), pa.array(w, _FLOAT)], ["a", "b", "w"])
+                begin = stop
+
+        for b in batches:
+            no, next_one = b.column("tile").to_numpy(zero_copy_only=False), b.column("next").to_numpy(zero_copy_only=False)
+            ids, small = b.column("cls").to_numpy(zero_copy_only=False), _array(b.column("v"), np.int16, size + 2)
+            vec = small[:, 2:].astype(np.float32) * (small[:, :2].copy().view(np.float32) / 32767)
+            # a row that is sent twice stands beside its copy
+            for lo, hi in zip(*(lambda cuts: (cuts[:-1], cuts[1:]))(np.flatnonzero(np.concatenate([[True], no[1:] != no[:-1], [True]])))):
+                if no[lo] != tile_no:
+                    yield from near(len(u))
+                    u, cls, tile_no, own, begin = u[:0], cls[:0], no[lo], 2**62, 0
+                fresh = ids[lo:hi] != np.concatenate([cls[-1:] if len(cls) else ids[lo : lo + 1] ^ 1, ids[lo : hi - 1]])
+                if own == 2**62 and next_one[lo:hi].any():
+                    own = len(u) + int(fresh[: int(np.argmax(next_one[lo:hi]))].sum())
+                u, cls = np.concatenate([u, vec[lo:hi][fresh]]), np.concatenate([cls, ids[lo:hi][fresh]])
+                ready = begin + max(0, (len(u) - window - begin) // STEP * STEP)
+                yield from near(min(ready, own))
+                if begin > window + (1 << 16):
+                    drop = begin - window
+                    u, cls, own, begin = u[drop:], cls[drop:], own - drop if own < 2**62 else own, window
+        yield from near(len(u))
+
+    near = tiles.mapInArrow(meet, "a bigint, b bigint, w float").repartition("a").groupBy("a", "b").agg(F.max("w").cast("double").alias("w"))
+    near = near.withColumn("r", F.rank().over(Window.partitionBy("a").orderBy(F.desc("w")))).withColumn("kth", F.min(F.when(F.col("r") <= k, F.col("w"))).over(Window.partitionBy("a")))
+    near = near.filter(F.col("w") >= F.col("kth") - 2 * SLACK)
+    beside = Window.partitionBy("a").orderBy(F.desc("w"), "b")
+    gap = F.least(F.coalesce(F.lag("w").over(beside) - F.col("w"), F.lit(9.0)), F.coalesce(F.col("w") - F.lead("w").over(beside), F.lit(9.0)))
+    near = materialize(near.select("a", "b", "w", ((F.lit(exact)) | (gap <= 2 * SLACK) | (F.abs(F.col("w") - least) <= SLACK)).alias("open")))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cur = np.concatenate([cur, b.column("curve").to_numpy(zero_copy_only=False)])
-            cls = np.concatenate([cls, b.column("cls").to_numpy(zero_copy_only=False)])
-            new = np.frombuffer(b"".join(b.column("v").to_pylist()), np.float32).reshape(-1, size).astype(np.float64)
-            u = np.concatenate([u, new / np.linalg.norm(new, axis=1, keepdims=True)])
-            if (end := len(u) - window) > begin:
-                if (out := block(cur, cls, u, begin, end)) is not None:
-                    yield out
-                drop = max(0, end - window)
-                cur, cls, u, begin = cur[drop:], cls[drop:], u[drop:], end - drop
-        if len(u) > begin and (out := block(cur, cls, u, begin, len(u))) is not None:
-            yield out
-
-    near = lined.mapInArrow(meet, "a bigint, b bigint, w double").groupBy("a", "b").agg(F.round(F.max("w"), 9).alias("w")).filter(F.col("w") >= least)
-    # of each class the k nearest classes and all that tie with the last of them
-    near = near.withColumn("r", F.rank().over(Window.partitionBy("a").orderBy(F.desc("w")))).filter(F.col("r") <= k)
-    wanted = members.select("id", "cls") if queries is None else members.select("id", "cls").join(queries.select("id"), "id", "left_semi")
+            b, raw = _usable(b, size)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(_row_hash(raw.view(np.int32))), b.column("v")], ["id", "vh", "v"])
+
+    # the vectors of pairs that are still open; their classes are written, so that Spark knows how many they are before it joins
+    doubt = near.filter("open").select("a", "b")
+    need = materialize(doubt.select(F.col("a").alias("cls")).union(doubt.select(F.col("b").alias("cls"))).distinct().join(reps.select("id", "vh", "cls"), "cls"))
+    vec = materialize(rows.mapInArrow(whole, "id string, vh bigint, v array<float>").join(need, ["id", "vh"]).dropDuplicates(["cls"]).select("cls", "v"))
+    side = lambda c: vec.select(F.col("cls").alias(c), F.col("v").alias(f"v{c}"))
+    sure = doubt.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.round(_dot("va", "vb") / (F.sqrt(_dot("va", "va")) * F.sqrt(_dot("vb", "vb"))), 9).alias("e"))
+    near = near.join(sure, ["a", "b"], "left").select("a", "b", F.coalesce("e", "w").alias("w")).filter(F.col("w") >= least)
+
+    wanted = members.select("id", "cls") if queries is None else members.select("id", "cls").join(queries.select(F.col("id").cast("string").alias("id")).distinct(), "id", "left_semi")
     own = wanted.join(few.select("cls", F.col("id").alias("target_id")), "cls").filter(F.col("id") != F.col("target_id")).select(F.col("id").alias("query_id"), "target_id", F.lit(1.0).alias("w"))
     # what a class offers its neighbours is the same for all members of the asking class
     offers = near.join(few.select(F.col("cls").alias("b"), F.col("id").alias("target_id"), "m"), "b").filter(F.col("m") <= k)

@@ -102,12 +102,25 @@ def test_nearest(spark):
     s = np.round(d @ d.T, 9)
     np.fill_diagonal(s, -9)
     want = {(ids[q], ids[t]) for q in range(len(v)) for t in sorted(range(len(v)), key=lambda t: (-s[q, t], t))[:5] if s[q, t] >= 0.8}
-    got = {(r.query_id, r.target_id) for r in vectors.nearest(u, 5, 64, 0.8).collect()}
+    raw = df.select("id", "t", "v")
+    full = vectors.nearest(raw, 5, 64, 0.8).collect()
+    got = {(r.query_id, r.target_id) for r in full}
+    assert got == {(r.query_id, r.target_id) for r in vectors.nearest(raw, 5, 64, 0.8, exact=False).collect()}
+    at = {x: k for k, x in enumerate(ids)}
+    assert all(abs(r.cosine_similarity - s[at[r.query_id], at[r.target_id]]) <= 2e-9 for r in full)
     assert len(got & want) / len(want) >= 0.99 and len(got & want) / len(got) >= 0.99
     assert {t for q, t in got if q == "p0003"} >= {"p0005", "p0006", "p0007"}
-    assert vectors.nearest(u.limit(0), 5, 64).count() == 0 and vectors.nearest(u.limit(1), 5, 64).count() == 0
+    assert vectors.nearest(raw.limit(0), 5, 64).count() == 0 and vectors.nearest(raw.limit(1), 5, 64).count() == 0
     some = u.filter("id like '%50'").select("id")
-    assert {r.query_id for r in vectors.nearest(u, 2, 64, -1.0, some).collect()} == {r.id for r in some.collect()}
+    assert {r.query_id for r in vectors.nearest(raw, 2, 64, -1.0, some).collect()} == {r.id for r in some.collect()}
+    # small tiles and windows, on any number of partitions
+    near = lambda: rows(vectors.nearest(raw, 5, 64, 0.8, window=50, tile=60).select("query_id", "target_id", "rank"))
+    few = near()
+    spark.conf.set("spark.sql.shuffle.partitions", 23)
+    try:
+        assert near() == few
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
 
 
 def test_recall_on_table(spark, data):
