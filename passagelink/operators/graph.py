@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from passagelink.session import materialize
@@ -28,15 +28,16 @@ def components(df: DataFrame, ident: str, keys: list[str]) -> DataFrame:
     edges = materialize(edges.distinct())  # u < v
     state = None
     while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         edges = both.join(low, "u").filter("v > u").select(F.col("m").alias("u"), "v").filter("u < v").distinct()
         # now the smaller neighbours of each record go to the smallest of them
         low = edges.groupBy("v").agg(F.min("u").alias("m"))
-        tied = edges.join(low, "v")
-        edges = materialize(tied.select(F.col("m").alias("u"), F.col("u").alias("v")).unionByName(tied.select(F.col("m").alias("u"), "v")).filter("u < v").distinct())
-        # finished when a round changes no edge
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
+        tied = edges.join(low, "v").select("m", F.explode(F.array("u", "v")).alias("v")).filter("m < v").select(F.col("m").alias("u"), "v").distinct()
+        # finished when a round changes no edge, as the number and the sum of the edges' hashes show
+        seen = Observation()
+        edges = materialize(tied.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        now = dict(seen.get)
         if now == state:
             break
         state = now
