@@ -30,7 +30,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     rows = _controls(spark, d)
-    shares = {r.split: r.split_share for r in table(spark, d, "split_shares").select("split", "split_share").limit(1000).collect()}
+    shares = {r.split: r.split_share for r in table(spark, d, "split_shares").select("split", "split_share").collect()}  # a fixed table, a row a split
     return splits.assign_splits(rows, splits.components(rows, "control_id", ["leakage", "family"]), "control_id", "relationship_class", shares)
 
 

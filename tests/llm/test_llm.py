@@ -214,7 +214,7 @@ def test_long_chain_and_hub(spark):
     assert c == {"n0000": 300, "h000": 150}
 
 
-def test_assignment(spark):
+def test_assignment(spark, monkeypatch):
     rng = random.Random(5)
     data = [(f"c{i:05d}", f"g{rng.randrange(1500)}", None, None, rng.choice(["x", "x", "x", "y", "y", None, "rare"] if i % 9 else ["rare"])) for i in range(4000)] + [(f"b{i:04d}", "big", None, None, "x") for i in range(500)]
     r = _controls(spark, data)
@@ -229,6 +229,22 @@ def test_assignment(spark):
         for s, w in shares.items():
             assert abs(n[s] / sum(n.values()) - w) < 0.05, (lab, n)
     assert splits.assign_splits(r.limit(0), comp.limit(0), "control_id", "label", shares).count() == 0
+    # coarser kinds, where the driver may hold few of them, still keep the proportions
+    monkeypatch.setattr(splits, "KINDS", 3)
+    b = {x.control_id: (x.component_id, x.split) for x in splits.assign_splits(r, comp, "control_id", "label", shares).collect()}
+    assert b.keys() == a.keys() and len(set(b.values())) == len({c for c, _ in b.values()})
+    for s, x in shares.items():
+        assert abs(sum(y == s for _, y in b.values()) / len(b) - x / sum(shares.values())) < 0.1
+
+
+def test_deal():
+    for m, each in ((0, 1.0), (3, 5.0), (100, 1.0), (1000, 0.5), (77, 3.0)):
+        need = {"a": 80.0, "b": 10.0, "c": 10.0, "d": -3.0}
+        one = dict.fromkeys(need, 0)
+        for _ in range(m):
+            one[max(need, key=lambda s: need[s] - one[s] * each)] += 1
+        got = splits._deal(need, each, m, list(need))
+        assert sum(got.values()) == m and all(abs(got[s] - one[s]) <= 1 for s in need)
 
 
 # --- encoding
