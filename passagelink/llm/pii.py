@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -11,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "phone", "id_number", "address", "person")
+#: A kind beside them: payment card and bank account numbers, which their check digits alone tell.
+ACCOUNT = "account"
 #: Score at which a proposed span counts.
 ENOUGH = 2
-#: Known name parts that are used at most; the lexicon is a fixed list.
-LEXICON = 100_000
 
 # Characters that are laid aside or made alike before matching; all other text stays as it is.
 _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF, *range(0x202A, 0x202F), *range(0x2066, 0x206A)])
@@ -39,22 +40,30 @@ _MAIL_HINTS = ("@", "&#64;", "%40", "[at", "(at", "{at", "[ at", "( at", " dot "
 
 # --- numbers
 _S = r"[\s.\-/]"
+# strong shapes: an international prefix with its country code; groups of three, three and four digits whose first is no
+# 0 or 1; a trunk 0 with groups set off by a dash, a slash or single digits
 _PHONE = re.compile(
-    rf"(?<![\w.+\-/])(?P<v>(?P<strong>(?:\+|\b00)\d{{1,3}}{_S}?\(0\){_S}?\d{{2,4}}{_S}?\d{{5,8}}"
-    rf"|\+1{_S}?\(?\d{{3}}\)?{_S}{{0,2}}\d{{3}}{_S}?\d{{4}}"
-    rf"|\+[2-9]\d{{1,2}}{_S}\d{{2}}{_S}\d{{4}}{_S}\d{{4}}|\b00\d{{3}}{_S}\d{{3}}{_S}\d{{6}}|\b0\d{{3}}-\d{{7}}|\b0\d{{3}}\s?/\s?\d\d\s\d\d\s\d\d|\b0(?:\s\d){{9}}"
-    rf"|(?:\(\d{{3}}\)|\d{{3}}){_S}?555{_S}?01\d\d)"
+    rf"(?<![\w.+\-/])(?P<v>(?P<strong>(?:\+\s?|\b00)[1-9]\d{{0,2}}{_S}?(?:\(0\){_S}?)?\(?\d{{1,4}}\)?(?:{_S}{{0,2}}\d{{2,8}}){{1,4}}"
+    rf"|\b0\d{{2,4}}-\d{{6,8}}|\b0\d{{2,4}}\s?/\s?\d\d(?:\s?\d\d){{2,3}}|\b0(?:\s\d){{9,10}}"
+    rf"|(?:\([2-9]\d\d\)|[2-9]\d\d){_S}?[2-9]\d\d{_S}?\d{{4}})"
     rf"|[+(]?\d(?:[\s().\-/]{{0,3}}\d){{6,13}})(?![\w/]|-\d|\.\d)"
 )
 _CALL = re.compile(
     r"(?i:(?:number\s+is|text\s+me\s+(?:on|at)|erreichbar\s+unter|ring|call|(?:tele)?phone|telefon|tel|telefax|fax|mobile?|mobil|handy|cell|whatsapp)\s*[.:=]?\s*(?:no\.?\s*)?|\bT\s|[☎☏✆📞]\s*)$"
 )
 _NOT_PERSONAL = re.compile(r"(?i:(?:inventory|inventar|lot|los|shelf\s?mark|signatur|checksum|prüfsumme|cat\.\s*no\.|part\s*no\.|isbn|issn|order|invoice|folio|run|token|rank|version|dated|pp\.|see\s+col)\W*)$")
+# a number of letters and digits: pieces joined by dashes or slashes, or short groups set apart by single blanks
+_NUMBER = (
+    r"(?P<v>[A-Z]\d{2}\s[A-Z]{2}\d{4}|\d{2,4}(?:\s\d{2,4}){2,4}|[A-Z]{0,3}\d{2,12}[A-Z]{0,2}|[A-Z]{0,4}\d{0,6}(?:[-/][A-Z]{0,2}\d{1,8}[A-Z]?){1,3}(?:-[A-Z])?)(?![\w/]|-[\dA-Z])"
+)
 _CARD = re.compile(
     r"(?i:\b(?:id\s?card|identity\s+card|social\s+security|(?:national\s+)?(?:identity|insurance)\s+number|passport|tax\s+(?:number|id)|ssn|driving\s+licen[cs]e|driver'?s?\s+licen[cs]e|licen[cs]e"
     r"|personalausweis|ausweis|steuer(?:nummer|-?id)|reisepass|führerschein|sozialversicherungsnummer)(?:[\s-]*(?:no|nr|number|nummer)\.?)?(?:\s+(?:given\s+)?(?:was|is|lautet))?\s*[:=#]?\s*)"
-    r"(?P<v>[A-Z]{3}-\d{6}-[A-Z]|[A-Z]\d{2}\s[A-Z]{2}\d{4}|[A-Z]{2}\d{7}|\d{2}\s\d{3}\s\d{3}\s\d{3}|\d{2}/\d{3}/\d{5}|\d{6}-\d{4}|\d{3}([\s\-])\d{2}\2\d{4}|\d{3}\s\d{3}\s\d{3}|[A-Z]{0,3}\d{8,12}[A-Z]?)(?![\w/]|-\d)"
+    + _NUMBER
 )
+# words that name a number of a person less surely; only a right check digit lifts what follows them
+_HINTED = re.compile(r"(?i:\b(?:id|ident(?:ity|ification)?|national|personal|citizen|nhs|sin|bsn|nif|cpf|pesel|personnummer)(?:[\s-]*(?:no|nr|id|number|nummer))?\.?\s*[:=#]?\s*)" + _NUMBER)
+_ACCOUNT = re.compile(r"(?<![\w\-/.])(?P<v>(?P<iban>[A-Z]{2}\d{2}(?:\s?[A-Z\d]{4}){2,7}(?:\s?[A-Z\d]{1,3})?)|[3-6]\d{3}(?:[\s\-]?\d{4}){2}[\s\-]?\d{1,7}|3\d{3}[\s\-]?\d{6}[\s\-]?\d{5})(?![\w/]|-\d)")
 
 _CARD_HINTS = ("card", "security", "identity", "insurance", "passport", "tax ", "tax\n", "ssn", "licen", "ausweis", "steuer", "reisepass", "führerschein", "versicherung")
 
@@ -62,18 +71,16 @@ _CARD_HINTS = ("card", "security", "identity", "insurance", "passport", "tax ",
 _W = r"[^\W\d_](?:[^\W\d_]|[̀-ͯ'])*"
 _NO = r"\d{1,4}\s?[a-hA-H]?(?!\w)"
 _UNIT = r"(?i:flat|apt\.?|apartment|unit|wohnung|whg\.?|suite|room)"
-_STREET = re.compile(
-    rf"(?<![\w.])(?P<v>(?:{_UNIT}\s\d{{1,4}}[a-z]?,\s)?{_NO},?\s(?:rue\s(?:(?:des?|du|la)\s)?{_W}|RUE\s(?:(?:DES?|DU|LA)\s)?{_W}"
-    rf"|(?:[Oo]ld\s|OLD\s)?{_W}\s(?i:street|road|avenue|hill|close|row|lane|way|drive|square|court|st\b\.?|rd\b\.?|ave\b\.?|ln\b\.?|dr\b\.))(?:,\s{_UNIT}\s\d{{1,4}}[a-z]?\b)?"
-    rf"|(?:[Aa]m\s|AM\s){_W}(?i:berg)\s{_NO}|{_W}(?i:straße|strasse|str\.|gasse|weg|platz|allee)\s{_NO}(?:,\s{_UNIT}\s\d{{1,4}}[a-z]?\b)?)(?!\w)"
+_END = rf"(?:,\s{_UNIT}\s\d{{1,4}}[a-z]?\b)?"
+# a house number before its street, a street by its last word before a house number, a street by its first
+_STREETS = (
+    re.compile(
+        rf"(?<![\w.])(?P<v>(?:{_UNIT}\s\d{{1,4}}[a-z]?,\s)?\d{{1,4}}\s?[a-hA-H]?(?!\w),?\s(?:rue\s(?:(?:des?|du|la)\s)?{_W}|RUE\s(?:(?:DES?|DU|LA)\s)?{_W}"
+        rf"|(?:[Oo]ld\s|OLD\s)?{_W}\s(?i:street|road|avenue|hill|close|row|lane|way|drive|square|court|st\b\.?|rd\b\.?|ave\b\.?|ln\b\.?|dr\b\.)){_END})(?!\w)"
+    ),
+    re.compile(rf"(?<![\w.])(?P<v>(?:[Aa]m|AM)\s{_W}(?i:berg)\s{_NO})(?!\w)"),
 )
-#: Pieces of lower-case text beside which a street is looked for, and how far around them.
-_STREET_HINTS = (
-    "rue ", "rue\n", " street", " road", " avenue", " hill", " close", " row", " lane", " way", " drive", " square", " court", " st", " rd", " ave", " ln", " dr",
-    "\nst", "\nrd", "\nave", "\nln", "\ndr", "\nway", "\ndrive", "\nsquare", "\ncourt",
-    "\nstreet", "\nroad", "\navenue", "\nhill", "\nclose", "\nrow", "\nlane", "berg ", "berg\n", "straße ", "strasse ", "str. ", "gasse ", "weg ", "platz ", "allee ", "straße\n", "str.\n", "gasse\n", "weg\n",
-)
-_REACH = 90
+_GERMAN = re.compile(rf"(?i:straße|strasse|str\.|gasse|weg|platz|allee)\s{_NO}{_END}(?!\w)")
 
 # --- names
 _UP = "A-ZÀ-ÖØ-Þ" + "".join(chr(c) for c in range(0x100, 0x250) if chr(c).isupper())
@@ -84,11 +91,11 @@ _FAMILY = rf"{_N}(?:-{_N})*"
 _NAME = rf"(?:{_N}(?:-{_N})?\s(?:{_I}\s){{0,2}}{_PARTICLE}{_FAMILY}|{_FAMILY},\s{_N}(?:\s{_I})?|(?:{_I}\s?){{1,3}}\s?{_PARTICLE}{_FAMILY})"
 _TITLE = r"(?:(?i:dr|prof|mr|mrs|ms|herr|herrn|frau|sir|dame|rev|fr)\b\.?\s)"
 _LED_HINTS = (
-    "contact", "reviewer", "author", "signed", "signiert", "geprüft", "reviewed", "checked", "thanks", "dank", "colleague", "kolleg", " met", "geehrte", "liebe", "dear",
+    "contact", "name is", "ich heiße", "reviewer", "author", "signed", "signiert", "geprüft", "reviewed", "checked", "thanks", "dank", "colleague", "kolleg", " met", "geehrte", "liebe", "dear",
     "dr ", "dr.", "prof ", "prof.", "mr ", "mr.", "mrs ", "mrs.", "ms ", "ms.", "herr", "frau", "sir ", "sir.", "dame ", "dame.", "rev ", "rev.", "fr ", "fr.",
 )
 _LED = re.compile(
-    rf"(?:(?i:\b(?:contact\s+person|reviewer|author|signed|signiert|geprüft\s+von|reviewed\s+by|checked\s+by|thanks\s+to|dank\s+an|my\s+colleague|meine?\s+kolleg(?:e|in)|i\s+met|sehr\s+geehrte[r]?)[\"']?\s?[:=,]?\s?[\"']?){_TITLE}*|\b{_TITLE}+|(?i:\b(?:dear|liebe[r]?)\s)(?!\w+,))"
+    rf"(?:(?i:\b(?:contact\s+person|reviewer|author|signed|signiert|geprüft\s+von|reviewed\s+by|checked\s+by|(?:my|his|her|whose)\s+name\s+is|ich\s+heiße|thanks\s+to|dank\s+an|my\s+colleague|meine?\s+kolleg(?:e|in)|i\s+met|sehr\s+geehrte[r]?)[\"']?\s?[:=,]?\s?[\"']?){_TITLE}*|\b{_TITLE}+|(?i:\b(?:dear|liebe[r]?)\s)(?!\w+,))"
     rf"(?P<v>{_NAME})"
 )
 _FOLLOWED = re.compile(
@@ -116,6 +123,27 @@ def mod97(number: str) -> bool:
     return number.isalnum() and number.isascii() and int("".join(str(int(c, 36)) for c in number)) % 97 == 1
 
 
+def mod11_10(digits: str) -> bool:
+    """Whether the last digit is the check digit of the others by ISO 7064 mod 11,10."""
+    p = 10
+    for c in digits[:-1]:
+        p = ((p + int(c)) % 10 or 10) * 2 % 11
+    return len(digits) > 1 and (11 - p) % 10 == int(digits[-1])
+
+
+def weighted11(digits: str) -> bool:
+    """Whether the digits, weighted by their places from the right, sum to a multiple of 11."""
+    return len(digits) > 1 and sum(k * int(c) for k, c in enumerate(reversed(digits), 1)) % 11 == 0
+
+
+def checked(number: str) -> bool:
+    """Whether a number of a person carries a right check digit by a scheme of its length."""
+    d = _digits(number)
+    if len(d) in (9, 10) and len(set(d)) > 1:
+        return luhn(d) or weighted11(d)
+    return len(d) == 11 and len(set(d)) > 1 and mod11_10(d) or len(d) >= 12 and mod97(number)
+
+
 def value(piece: str) -> str:
     """The piece in lower case, letters and digits only."""
     return "".join(c for c in piece.lower() if c.isalnum())
@@ -129,26 +157,33 @@ def _has(low: str, hints: tuple[str, ...]) -> bool:
     return any(h in low for h in hints)
 
 
-def _streets(t: str, low: str) -> Iterator[re.Match]:
-    """Street matches near the hints; where lower case has another length, anywhere."""
-    if len(low) != len(t):
-        yield from _STREET.finditer(t)
-        return
-    spots = set()
-    for h in _STREET_HINTS:
-        i = low.find(h)
-        while i >= 0:
-            spots.add(i)
-            i = low.find(h, i + 1)
-    end = 0
-    for i in sorted(spots):
-        begin = max(end, i - _REACH)
-        # twice as far, so that no match is cut off at the end
-        for m in _STREET.finditer(t, begin, min(len(t), i + 2 * _REACH)):
-            if m.start() > i + _REACH:
-                break
-            yield m
-            end = m.end()
+def _streets(t: str) -> Iterator[tuple[int, int]]:
+    """Streets with house numbers anywhere in a text."""
+    for pattern in _STREETS:
+        for m in pattern.finditer(t):
+            yield m.span("v")
+    for m in _GERMAN.finditer(t):
+        # the word that ends here
+        begin = m.start()
+        while begin and (t[begin - 1].isalpha() or unicodedata.combining(t[begin - 1]) or t[begin - 1] == "'"):
+            begin -= 1
+        if begin == m.start() and t[begin].isupper() and begin > 1 and t[begin - 1] in " -":  # of two words
+            begin -= 1
+            while begin and t[begin - 1].isalpha():
+                begin -= 1
+            if not t[begin].isupper():
+                continue
+        if begin < m.start() and t[begin].isalpha() and not (begin and (t[begin - 1] == "." or t[begin - 1].isalnum() or t[begin - 1] == "_")):
+            yield begin, m.end()
+
+
+def _lines_up(t: str, at: int, n: int) -> int:
+    """Where the n-th line of some text before a place begins."""
+    for _ in range(n):
+        while at and t[at - 1].isspace():
+            at -= 1
+        at = max(t.rfind("\n", 0, at), t.rfind("\r", 0, at)) + 1
+    return at
 
 
 def _spans(t: str, given: frozenset[str], family: frozenset[str]) -> Iterator[Span]:
@@ -158,27 +193,37 @@ def _spans(t: str, given: frozenset[str], family: frozenset[str]) -> Iterator[Sp
     if _has(low, _MAIL_HINTS):
         for m in _MAIL.finditer(t):
             yield Span("email", *m.span("v"))
-    cards = []
-    if _has(low, _CARD_HINTS):
-        for m in _CARD.finditer(t):
-            number = value(m["v"])
-            # the words before a number weigh most; a valid check digit adds to them
-            score = 2 * (any(c.isdigit() for c in number)) + (luhn(_digits(number)) or mod97(number))
-            if score >= ENOUGH:
-                cards.append(m.span("v"))
-                yield Span("id_number", *m.span("v"))
+    taken = []
+    for m in _ACCOUNT.finditer(t):
+        # the check digits of these decide alone
+        number = value(m["v"]).upper()
+        if _NOT_PERSONAL.search(t[max(0, m.start() - 28) : m.start()]):
+            continue
+        if mod97(number[4:] + number[:4]) if m["iban"] else luhn(number) and len(set(number)) > 1:
+            taken.append(m.span("v"))
+            yield Span(ACCOUNT, *m.span("v"))
+    for weight, pattern in ((2, _CARD), (1, _HINTED)):
+        for m in pattern.finditer(t) if weight == 1 or _has(low, _CARD_HINTS) else ():
+            a, b = m.span("v")
+            number = m["v"]
+            if len(value(number)) < 7 or len(_digits(number)) < 5 or any(x < b and a < y for x, y in taken):
+                continue
+            # the words before a number weigh, and a right check digit adds to them
+            taken.append((a, b))
+            if weight + checked(number) >= ENOUGH:
+                yield Span("id_number", a, b)
     for m in _PHONE.finditer(t):
         a, b = m.span("v")
-        if any(x < b and a < y for x, y in cards):
+        if not 7 <= len(_digits(m["v"])) <= 15 or any(x < b and a < y for x, y in taken):
             continue
         before = t[max(0, a - 28) : a]
         score = 2 * bool(m["strong"]) + 2 * bool(_CALL.search(before)) - 3 * bool(_NOT_PERSONAL.search(before))
         if score >= ENOUGH:
             yield Span("phone", a, b)
-    for m in _streets(t, low):
-        yield Span("address", *m.span("v"))
-        # a line above a street is the name of who lives there
-        if above := _ABOVE.search(t, max(0, m.start() - _REACH), m.start()):
+    for begin, end in _streets(t):
+        yield Span("address", begin, end)
+        # a line above a street, or two, is the name of who lives there
+        if above := _ABOVE.search(t, _lines_up(t, begin, 2), begin):
             yield Span("person", *above.span("v"))
     if _has(low, _LED_HINTS):
         for m in _LED.finditer(t):
@@ -202,7 +247,7 @@ def find(text: str, given: frozenset[str] = frozenset(), family: frozenset[str]
             at = [i for i, c in enumerate(text) if ord(c) not in _INVISIBLE] + [len(text)]
             t = "".join(c for c in text if ord(c) not in _INVISIBLE)
         t = t.translate(_ALIKE)
-    found = sorted(set(_spans(t, given, family)), key=lambda s: (KINDS.index(s.kind) > 2, s.begin - s.end, s.begin))
+    found = sorted(set(_spans(t, given, family)), key=lambda s: (s.kind in ("address", "person"), s.begin - s.end, s.begin))
     out: list[Span] = []
     for s in found:
         if not any(s.begin < o.end and o.begin < s.end for o in out):
@@ -229,8 +274,9 @@ def _names(lexicon: list[tuple[str, str]]) -> tuple[frozenset[str], frozenset[st
 def find_pii(docs: DataFrame, ident: str, text: str, lexicon: list[tuple[str, str]] = ()) -> DataFrame:
     """The distinct pieces of personal information of every document. Columns out: ident, pii_kind, pii_value.
 
-    Regular expressions propose spans of the five KINDS; Luhn and mod-97 check digits confirm numbers, and words nearby
-    raise or lower the score. ``lexicon`` holds known (name part, role) pairs, a fixed list that need not be complete.
+    Regular expressions propose spans of the five KINDS and of ACCOUNT. Words nearby raise or lower a span's score; check
+    digits decide where words don't: numbers of cards and bank accounts count if Luhn or mod-97 holds, numbers that are
+    only hinted at if a check digit of their length does. ``lexicon`` holds known (name part, role) pairs, a fixed list that need not be complete.
     ``pii_value`` is the piece in lower case, letters and digits only. Null, empty and blank texts give no rows; whole
     texts are searched, line by line breaks included; extra columns are dropped. One pass without a shuffle of texts.
     """

@@ -369,3 +369,29 @@ def test_pii_tables(spark):
 def test_checksums():
     assert pii.luhn("79927398713") and not pii.luhn("79927398710") and not pii.luhn("")
     assert pii.mod97("3214282912345698765432161182") and not pii.mod97("3214282912345698765432161181") and not pii.mod97("é")
+
+
+DECIDED = [
+    ("IBAN DE89 3704 0044 0532 0130 00 ok", "IBAN DE88 3704 0044 0532 0130 00 ok", "account", "DE89 3704 0044 0532 0130 00"),
+    ("card 4111 1111 1111 1111.", "card 4111 1111 1111 1112.", "account", "4111 1111 1111 1111"),
+    ("ID no. 046 454 286", "ID no. 046 454 287", "id_number", "046 454 286"),
+    ("NHS number 943 476 5919", "NHS number 943 476 5918", "id_number", "943 476 5919"),
+    ("personal id 86095742719", "personal id 86095742718", "id_number", "86095742719"),
+]
+
+
+@pytest.mark.parametrize("right, wrong, kind, piece", DECIDED)
+def test_check_digits_decide(right, wrong, kind, piece):
+    assert [(s.kind, right[s.begin : s.end]) for s in pii.find(right)] == [(kind, piece)]
+    assert pii.find(wrong) == []
+
+
+@pytest.mark.parametrize(
+    "text, kind, piece",
+    [
+        ("My name is John Smith.", "person", "John Smith"), ("call +44 20 7946 0958", "phone", "+44 20 7946 0958"), ("(212) 736-5000 is mine", "phone", "(212) 736-5000"), ("Tel 030 1234567", "phone", "030 1234567"),
+        ("in der Lange Straße 12, Wohnung 3 ", "address", "Lange Straße 12, Wohnung 3"), ("passport no. X12345678", "id_number", "X12345678"), ("tax number 12-3456789", "id_number", "12-3456789"),
+    ],
+)
+def test_forms_beyond_the_tables(text, kind, piece):
+    assert [(s.kind, text[s.begin : s.end]) for s in pii.find(text)] == [(kind, piece)]
