@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagelink.operators.spread import hot_keys, spread_join
 from passagelink.session import materialize
 
 #: Where the vocabulary files lie; a parameter of every function here.
@@ -67,23 +68,27 @@ def encode_corpus(docs: DataFrame, ident: str, text: str, vocabulary: str = VOCA
 
     The text is split into pre-tokens, which are exploded with their positions; within a block of documents equal
     pre-tokens are combined before any shuffle. The distinct pre-tokens of all blocks are each encoded once, joined
-    back to the blocks, and the ids of every document put together by position. A pre-token of all blocks is one row a
-    block, which a skewed join may split. A text is never cut.
+    back to the blocks, and the ids of every document put together by position: within a block that is done on packed
+    numbers in Arrow batches. A pre-token of all blocks is one row a block; such hot ones are salted. A text is never cut.
+    The vocabulary file is read by the driver and broadcast.
     """
     blocks = materialize(docs.select(F.col(ident).cast("bigint").alias("doc"), F.col(text).alias("text")).mapInArrow(_blocks("doc", "text", block), "block bigint, words array<string>, docs binary, lens binary, at binary"))
     spread = blocks.select("block", F.posexplode("words").alias("pos", "word"))
 
+    ranks = docs.sparkSession.sparkContext.broadcast(_ranks(vocabulary))
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         # a word is one pre-token already, so the pattern takes all of it
-        bpe = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=_ranks(vocabulary), special_tokens={})
+        bpe = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks.value, special_tokens={})
         for b in batches:
             ids = [bpe.encode_ordinary(w) for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
-    known = spread.select("word").distinct().mapInArrow(encode, "word string, ids array<int>")
-    ids = spread.join(known, "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("words"))
+    counts = materialize(spread.groupBy("word").agg(F.count("*").alias("n")))
+    known = counts.select("word").mapInArrow(encode, "word string, ids array<int>")
+    ids = spread_join(spread, known, "word", hot_keys(counts, "word", "n"), F.xxhash64("block")).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("words"))
     whole = blocks.select("block", "docs", "lens", "at").join(ids.select("block", F.col("words.ids").alias("ids")), "block", "left")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,8 +18,9 @@ RUN, SHARE, STRETCH = 12, 0.6, 1.5
 #: Random walks, samples of each walk, sampled steps of a signature, and steps of a walk samples are drawn from (by turns).
 WALKS, SAMPLES, BITS, STEPS = 5, 3, 5, (7, 9, 13)
 SEED = 7_2017
-#: Words of items that one pass over the corpus looks for; more items take more passes.
-PASS_WORDS = 200_000
+#: Words of items that one pass over the corpus looks for, 200 bytes each in every worker; more items take more passes.
+PASS_WORDS = 500_000
+
 
 def _marks(begin: int, end: int) -> re.Pattern:
     """Runs of combining marks and invisible characters of a range of code points."""
@@ -70,12 +71,7 @@ class Items:
         self.coins = rng.integers(0, 2, (WALKS, most, size), dtype=np.int8)
         self.samples = [[np.sort(rng.permutation(STEPS[(w + s) % len(STEPS)])[:BITS]) for s in range(SAMPLES)] for w in range(WALKS)]
         self.mix = rng.integers(1, 2**62, BITS, dtype=np.int64) | 1
-        self.masks = []
-        for s in self.seq:
-            m: dict[int, int] = {}
-            for k, x in enumerate(s):
-                m[x] = m.get(x, 0) | 1 << k
-            self.masks.append(m)
+        self.known: dict[int, tuple[np.ndarray, dict[int, int]]] = {}
         flat = np.concatenate([np.array([*s, *[0] * most], np.int32) for s in self.seq]) if self.seq else np.zeros(0, np.int32)
         item = np.concatenate([np.full(len(s) + most, k, np.int32) for k, s in enumerate(self.seq)]) if self.seq else np.zeros(0, np.int32)
         starts = np.flatnonzero(flat)
@@ -87,10 +83,15 @@ class Items:
                 pair = np.unique(np.stack([code[fine], item[starts][fine].astype(np.int64)], 1), axis=0)
                 self.tables.append((pair[:, 0].copy(), pair[:, 1].copy()))
         self.lengths = np.array(sorted({len(s) for s in self.seq}), np.int64)
-        # rows: items, columns: words
-        self.holds = np.zeros((len(self.seq), size), bool)
-        for k, s in enumerate(self.seq):
-            self.holds[k, s] = True
+
+    def item(self, k: int) -> tuple[np.ndarray, dict[int, int]]:
+        """The distinct words of an item, and for each the places where it stands, as bits; made when first asked for."""
+        if k not in self.known:
+            places: dict[int, int] = {}
+            for j, x in enumerate(self.seq[k]):
+                places[x] = places.get(x, 0) | 1 << j
+            self.known[k] = np.array(sorted(places), np.int32), places
+        return self.known[k]
 
     def walk(self, flat: np.ndarray, starts: np.ndarray, w: int) -> np.ndarray:
         """Random-walk embedding of the text from each start: at every step the current word is put out, and a coin that
@@ -146,8 +147,8 @@ class Items:
     def occurs(self, a: np.ndarray, k: int) -> bool:
         """Whether the word numbers of a document hold a case of item k. Exact."""
         size = len(self.seq[k])
-        masks, least, wide = self.masks[k], need(size), int(STRETCH * size)
-        pos = np.flatnonzero(self.holds[k][a])
+        (own, masks), least, wide = self.item(k), need(size), int(STRETCH * size)
+        pos = np.flatnonzero(own[np.minimum(np.searchsorted(own, a), len(own) - 1)] == a)
         if len(pos) < min(least, RUN):
             return False
         # consecutive words
@@ -177,8 +178,11 @@ def need(size: int) -> int:
     return math.ceil(SHARE * size - 1e-9)
 
 
-def _search(prepared: Items):
+def _search(sent):
+    """Search a batch for the items of a broadcast; a worker unpacks them once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prepared: Items = sent.value
         known: dict[str, int] = {}
         vocabulary, gap = prepared.vocabulary, max(STEPS) + int(STRETCH * (prepared.lengths.max() if len(prepared.lengths) else 0))
         schema = pa.schema([("d", pa.int64()), ("i", pa.int64())])
@@ -213,8 +217,8 @@ def find_leaks(docs: DataFrame, ident: str, text: str, items: DataFrame, item: s
 
     Words are maximal runs of letters and digits without letter case, diacritics and invisible characters. Null and
     empty texts and items without words match nothing; an item of fewer than RUN words needs SHARE of them. ``items``
-    is the evaluation set, of a size that does not grow with the corpus; per PASS_WORDS words of it the corpus is
-    passed once. Documents are not shuffled.
+    is the evaluation set, of a size that does not grow with the corpus; each PASS_WORDS words of it are one broadcast
+    and one pass over the corpus. Documents are not shuffled.
 
     Windows of the corpus that start at any word, and of the items likewise, are embedded by random walks (Chakraborty,
     Goldenberg and Koucky, Streaming algorithms for embedding and computing edit distance, 2016), and windows that
@@ -222,15 +226,22 @@ def find_leaks(docs: DataFrame, ident: str, text: str, items: DataFrame, item: s
     stretches that hold enough words of items are embedded, which loses nothing. The agreeing document is then
     compared with the item exactly, over its whole text.
     """
-    rows = [(r[0], r[1]) for r in items.select(F.col(item).cast("bigint"), item_text).filter(F.col(item_text).isNotNull()).collect()]
+    sc = docs.sparkSession.sparkContext
     src = docs.select(F.col(ident).cast("bigint").alias("d"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
     out, part, size = None, [], 0
-    for n, (i, t) in enumerate(rows, 1):
-        part.append((i, t))
-        size += len(words(t))
-        if size >= PASS_WORDS or n == len(rows):
-            one = src.mapInArrow(_search(Items(part)), "d bigint, i bigint")
-            out, part, size = one if out is None else out.unionByName(one), [], 0
+
+    def one_pass() -> DataFrame:
+        one = src.mapInArrow(_search(sc.broadcast(Items(part))), "d bigint, i bigint")
+        return one if out is None else out.unionByName(one)
+
+    # the items come to the driver a partition at a time
+    for r in items.select(F.col(item).cast("bigint"), item_text).filter(F.col(item_text).isNotNull()).toLocalIterator():
+        part.append((r[0], r[1]))
+        size += len(words(r[1]))
+        if size >= PASS_WORDS:
+            out, part, size = one_pass(), [], 0
+    if part:
+        out = one_pass()
     if out is None:
         out = src.select("d", F.lit(0).cast("bigint").alias("i")).filter("false")
     return out.distinct().select(F.col("d").alias(ident), F.col("i").alias(item))

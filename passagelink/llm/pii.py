@@ -80,7 +80,11 @@ _STREETS = (
     ),
     re.compile(rf"(?<![\w.])(?P<v>(?:[Aa]m|AM)\s{_W}(?i:berg)\s{_NO})(?!\w)"),
 )
-_GERMAN = re.compile(rf"(?i:straße|strasse|str\.|gasse|weg|platz|allee)\s{_NO}{_END}(?!\w)")
+_ENDS = ("straße", "strasse", "str.", "gasse", "weg", "platz", "allee")
+_GERMAN = re.compile(rf"(?i:{'|'.join(map(re.escape, _ENDS))})\s{_NO}{_END}(?!\w)")
+_ENDS_HINTS = tuple(f"{e} " for e in _ENDS)
+# five digits near each other; no number that counts is without
+_FIVE = re.compile(r"\d(?:[\s().\-/A-Z]{0,3}\d){4}")
 
 # --- names
 _UP = "A-ZÀ-ÖØ-Þ" + "".join(chr(c) for c in range(0x100, 0x250) if chr(c).isupper())
@@ -157,12 +161,12 @@ def _has(low: str, hints: tuple[str, ...]) -> bool:
     return any(h in low for h in hints)
 
 
-def _streets(t: str) -> Iterator[tuple[int, int]]:
+def _streets(t: str, low: str) -> Iterator[tuple[int, int]]:
     """Streets with house numbers anywhere in a text."""
     for pattern in _STREETS:
         for m in pattern.finditer(t):
             yield m.span("v")
-    for m in _GERMAN.finditer(t):
+    for m in _GERMAN.finditer(t) if _has(low, _ENDS_HINTS) else ():
         # the word that ends here
         begin = m.start()
         while begin and (t[begin - 1].isalpha() or unicodedata.combining(t[begin - 1]) or t[begin - 1] == "'"):
@@ -194,7 +198,8 @@ def _spans(t: str, given: frozenset[str], family: frozenset[str]) -> Iterator[Sp
         for m in _MAIL.finditer(t):
             yield Span("email", *m.span("v"))
     taken = []
-    for m in _ACCOUNT.finditer(t):
+    many = _FIVE.search(t)
+    for m in _ACCOUNT.finditer(t) if many else ():
         # the check digits of these decide alone
         number = value(m["v"]).upper()
         if _NOT_PERSONAL.search(t[max(0, m.start() - 28) : m.start()]):
@@ -203,7 +208,7 @@ def _spans(t: str, given: frozenset[str], family: frozenset[str]) -> Iterator[Sp
             taken.append(m.span("v"))
             yield Span(ACCOUNT, *m.span("v"))
     for weight, pattern in ((2, _CARD), (1, _HINTED)):
-        for m in pattern.finditer(t) if weight == 1 or _has(low, _CARD_HINTS) else ():
+        for m in pattern.finditer(t) if many and (weight == 1 or _has(low, _CARD_HINTS)) else ():
             a, b = m.span("v")
             number = m["v"]
             if len(value(number)) < 7 or len(_digits(number)) < 5 or any(x < b and a < y for x, y in taken):
@@ -212,7 +217,7 @@ def _spans(t: str, given: frozenset[str], family: frozenset[str]) -> Iterator[Sp
             taken.append((a, b))
             if weight + checked(number) >= ENOUGH:
                 yield Span("id_number", a, b)
-    for m in _PHONE.finditer(t):
+    for m in _PHONE.finditer(t) if many else ():
         a, b = m.span("v")
         if not 7 <= len(_digits(m["v"])) <= 15 or any(x < b and a < y for x, y in taken):
             continue
@@ -220,7 +225,7 @@ def _spans(t: str, given: frozenset[str], family: frozenset[str]) -> Iterator[Sp
         score = 2 * bool(m["strong"]) + 2 * bool(_CALL.search(before)) - 3 * bool(_NOT_PERSONAL.search(before))
         if score >= ENOUGH:
             yield Span("phone", a, b)
-    for begin, end in _streets(t):
+    for begin, end in _streets(t, low):
         yield Span("address", begin, end)
         # a line above a street, or two, is the name of who lives there
         if above := _ABOVE.search(t, _lines_up(t, begin, 2), begin):

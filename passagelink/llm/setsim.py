@@ -64,6 +64,15 @@ def _node(*path: str) -> Column:
     return F.xxhash64(*path).bitwiseAND(F.lit(2**40 - 1)).alias("node")
 
 
+def _tiled(rows: DataFrame, most: int) -> DataFrame:
+    """The rows of nodes with more than ``most`` sets dealt to tiles of about that many, once for each pair (p, q) of tiles
+    that their own is part of; other nodes are one tile."""
+    sizes = rows.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("node", F.ceil(F.col("n") / most).cast("int").alias("tiles"))
+    dealt = rows.join(sizes, "node", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("k", F.lit(11)), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return dealt.select("node", "k", "s", "tile", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"))
+
+
 def similar_sets(sets: DataFrame, threshold: float, trees: int = TREES, node_rows: int = NODE) -> DataFrame:
     """Pairs of different sets with a Jaccard similarity of at least ``threshold``, each pair of sets once.
 
@@ -73,7 +82,8 @@ def similar_sets(sets: DataFrame, threshold: float, trees: int = TREES, node_row
     Every tree sends a set to the node of the token that comes first in a random order, the same for all sets; a pair
     of similarity j meets with probability j. Nodes of more than ``node_rows`` sets are split again, along BRANCHES
     tokens of new random orders beside those on the path, until they are small; the limit doubles with every level, as
-    sets that share a path are alike, and what is still large after DEPTH levels is compared nonetheless. How large a node is, is estimated by one set in EVERY. ``trees`` independent trees lose a pair at the threshold 0.7 with probability 0.3 ** trees
+    sets that share a path are alike. Nodes still larger than that after DEPTH levels are compared in tiles, so no task
+    holds more than two tiles. How large a node is, is estimated by one set in EVERY. ``trees`` independent trees lose a pair at the threshold 0.7 with probability 0.3 ** trees
     (2e-5 for 9 trees, if no node is split), more similar pairs more rarely.
 
     Sets that meet are told apart by size and by a bitmap of their tokens: a bit in which two bitmaps differ is a token
@@ -97,7 +107,12 @@ def similar_sets(sets: DataFrame, threshold: float, trees: int = TREES, node_row
             big = materialize(some.groupBy("node").count().filter(F.col("count") > node_rows * 2**depth / EVERY).select("node"))
             last = big.isEmpty()
             rows = rows if last else rows.join(big, "node", "left_anti")
-        met = rows.alias("x").join(rows.alias("y"), "node").filter((F.col("x.k") < F.col("y.k")) & fits)
+        if depth == DEPTH:
+            rows = _tiled(rows, node_rows * 2**depth)
+            apart = (F.col("x.tile") != F.col("y.tile")) | (F.col("p") == F.col("q"))
+            met = rows.alias("x").join(rows.alias("y"), ["node", "p", "q"]).filter(apart & (F.col("x.k") < F.col("y.k")) & fits)
+        else:
+            met = rows.alias("x").join(rows.alias("y"), "node").filter((F.col("x.k") < F.col("y.k")) & fits)
         pairs.append(met.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")))
         if last:
             break

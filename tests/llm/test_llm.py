@@ -180,6 +180,13 @@ def test_similar_sets_split_nodes(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_similar_sets_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(setsim, "DEPTH", 1)
+    data = _set_data(4)
+    sets, wide = _sets(spark, data)
+    assert _found(sets, wide, node_rows=2) == _plain_sets(data)
+
+
 def test_large_sets_are_exact(spark):
     data = _set_data(8)
     assert _found(*_sets(spark, data, large=9), large=9) == _plain_sets(data)
@@ -295,7 +302,7 @@ def _plain_leak(doc, item):
     return False
 
 
-def test_leaks(spark):
+def test_leaks(spark, monkeypatch):
     rng = random.Random(9)
     vocab = [f"w{i}" for i in range(300)] + ["the", "and"] * 20
     items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.choice([8, 20, 40])))) for k in range(12)]
@@ -320,6 +327,8 @@ def test_leaks(spark):
     got = {(r.d, r.i) for r in leakage.find_leaks(spark.createDataFrame(docs, "d bigint, t string"), "d", "t", spark.createDataFrame(items + [(90, None), (91, ""), (92, "--")], "i bigint, x string"), "i", "x").collect()}
     want = {(d, i) for d, t in docs if t for i, w in items if _plain_leak(t, w)}
     assert got == want and len(want) > 25
+    monkeypatch.setattr(leakage, "PASS_WORDS", 50)  # several passes
+    assert got == {(r.d, r.i) for r in leakage.find_leaks(spark.createDataFrame(docs, "d bigint, t string"), "d", "t", spark.createDataFrame(items, "i bigint, x string"), "i", "x").collect()}
     assert leakage.find_leaks(spark.createDataFrame(docs, "d bigint, t string"), "d", "t", spark.createDataFrame([], "i bigint, x string"), "i", "x").count() == 0
 
 
