@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagelink.operators.spread import hot_keys, spread_join
 from passagelink.session import materialize
 
 #: Blanks that are trimmed from loosely written keys.
@@ -32,8 +33,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame, key: str, start: str,
 
     The distinct keys are anti-joined to the parents' keys, and the result joined back. Keys with one interval are
     decided by comparison in that join; repeats are dropped after it, when few rows are left. Keys with several are
-    swept by time within (key, day); the balance at the start of a day comes from daily sums, so no key's rows have to
-    fit into one task.
+    swept by time within (key, day): the distinct moments at which a key is asked for, not the records that ask; the
+    balance at the start of a day comes from daily sums. Joins of the references are salted where a key is hot.
     """
     low, high = F.lit("0001-01-01").cast("timestamp_ntz"), F.lit("9999-12-31").cast("timestamp_ntz")
     p = parents.select(loose_key(F.col(key)).alias("key"), F.coalesce(F.col(start), low).alias("s"), F.coalesce(F.col(end), high).alias("e")).filter(F.col("key").isNotNull())
@@ -41,14 +42,15 @@ def orphan_references(refs: DataFrame, parents: DataFrame, key: str, start: str,
         p.groupBy("key").agg(F.min("s").alias("first_s"), F.max("e").alias("last_e"), F.max("s").alias("last_s"), F.min("e").alias("first_e"))
         .select("key", "first_s", "last_e", ((F.col("first_s") != F.col("last_s")) | (F.col("first_e") != F.col("last_e"))).alias("several"))
     )
-    missing_keys = refs.select("key").distinct().join(known.select("key"), "key", "left_anti")
+    asked_keys = materialize(refs.groupBy("key").agg(F.count("*").alias("n")))
+    missing_keys = asked_keys.join(known.select("key"), "key", "left_anti")
     told = known.unionByName(missing_keys.select("key", F.lit(None).cast("timestamp_ntz").alias("first_s"), F.lit(None).cast("timestamp_ntz").alias("last_e"), F.lit(False).alias("several")))
     seen = F.col("at")
     state = (
         F.when(F.col("first_s").isNull(), "missing").when(seen < F.col("first_s"), "late")
         .when(seen >= F.col("last_e"), "deleted").when(F.col("several") & seen.isNotNull(), "open")
     )
-    judged = refs.join(told, "key").withColumn("reason", state).filter(F.col("reason").isNotNull())
+    judged = spread_join(refs, told, "key", hot_keys(asked_keys, "key", "n"), F.xxhash64("record_id", "at")).withColumn("reason", state).filter(F.col("reason").isNotNull())
     judged = materialize(judged.select("ref_table", "record_id", "key", "at", "reason").distinct())
     plain = judged.filter("reason <> 'open'").select("ref_table", "record_id", "at", "reason")
     open_refs = judged.filter("reason = 'open'")
@@ -62,14 +64,17 @@ def orphan_references(refs: DataFrame, parents: DataFrame, key: str, start: str,
         daily.unionByName(asked).groupBy("key", "day").agg(F.sum("net").alias("net"))
         .select("key", "day", F.coalesce(F.sum("net").over(before), F.lit(0)).alias("base"))
     )
-    events = changes.groupBy("key", "at").agg(F.sum("d").alias("d")).select("key", F.to_date("at").alias("day"), "at", "d", F.lit(0).alias("o"), F.lit(None).cast("string").alias("ref_table"), F.lit(None).cast("string").alias("record_id"))
-    events = events.unionByName(open_refs.select("key", F.to_date("at").alias("day"), "at", F.lit(0).cast("bigint").alias("d"), F.lit(1).alias("o"), "ref_table", "record_id"))
+    # the moments at which a key is asked for, however many records ask
+    moments = materialize(open_refs.groupBy("key", "at").agg(F.count("*").alias("n")))
+    events = changes.groupBy("key", "at").agg(F.sum("d").alias("d")).select("key", F.to_date("at").alias("day"), "at", "d", F.lit(0).alias("o"))
+    events = events.unionByName(moments.select("key", F.to_date("at").alias("day"), "at", F.lit(0).cast("bigint").alias("d"), F.lit(1).alias("o")))
     run = Window.partitionBy("key", "day").orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0)
-    swept = (
+    shut = (
         events.withColumn("live", F.sum("d").over(run)).filter("o = 1")
-        .join(base, ["key", "day"]).filter(F.col("live") + F.col("base") <= 0)
-        .select("ref_table", "record_id", "at", F.lit("deleted").alias("reason"))
+        .join(base, ["key", "day"]).filter(F.col("live") + F.col("base") <= 0).select(F.struct("key", "at").alias("moment"))
     )
+    hot = hot_keys(moments.select(F.struct("key", "at").alias("moment"), "n"), "moment", "n")
+    swept = spread_join(open_refs.withColumn("moment", F.struct("key", "at")), shut, "moment", hot, F.xxhash64("record_id"), "left_semi").select("ref_table", "record_id", "at", F.lit("deleted").alias("reason"))
     return (
         plain.unionByName(swept)
         .select("ref_table", "record_id", F.coalesce(F.date_format("at", "yyyy-MM"), F.lit("unknown")).alias("ref_month"), "reason")
