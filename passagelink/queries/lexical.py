@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from passagelink.config import Settings
 from passagelink.functions.text import length_bucket, text_words
 from passagelink.operators import detectors as D
 from passagelink.operators import features as X
 from passagelink.operators import retrieval as R
+from passagelink.operators import scoring as S
 from passagelink.queries import register
 from passagelink.session import materialize, table
 
-#: Features of more documents than this don't propose pairs; proposals are the reference's cost bound, not an escape from skew.
-DF_CAP, TOP, MIN_COUNT = 50, 10, 5
+#: Best partners of a query that are kept, least count of a phrase, and which documents are queries: one in so many, against all.
+TOP, MIN_COUNT, EVERY = 10, 5, 50
+SETTINGS = Settings()
 
 TOK = r"""
 tok AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (
@@ -179,127 +182,155 @@ def formulaic_docs(spark: SparkSession, d: str) -> DataFrame:
     return _named(X.formulaic_passages(seqs(spark, d), min_count=5), pid="doc_id")
 
 
-# --- detectors
+# --- detectors: every query document against all documents, over all words
 
-_TOP = f"""SELECT q, t, score, rank FROM (SELECT q, t, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, t) AS INTEGER) AS rank FROM
- (SELECT a AS q, b AS t, score FROM pr UNION ALL SELECT b, a, score FROM pr) WHERE round(score, 9) > 0) WHERE rank <= {TOP}"""
-_CAPPED = f", c AS (SELECT p.*, df, cf FROM post p JOIN dfs USING (word) WHERE df <= {DF_CAP})"
+_PROF = (
+    f"WITH {TOK.replace('post AS (', 'post AS MATERIALIZED (')}"
+    """, f AS MATERIALIZED (SELECT word, df, cf, ln((1.0 + n) / (1 + df)) + 1 AS idf, ln(1 + (n - df + 0.5) / (df + 0.5)) AS bidf FROM dfs, nd),
+l AS (SELECT doc_id, sum(tf)::DOUBLE AS len FROM post GROUP BY doc_id), al AS (SELECT avg(len) AS avg_len FROM l),
+pf AS MATERIALIZED (SELECT p.doc_id, word, tf, df, cf, idf, (1 + ln(tf)) * idf / sqrt(sum(((1 + ln(tf)) * idf) * ((1 + ln(tf)) * idf)) OVER (PARTITION BY p.doc_id)) AS w,
+  tf / sqrt(sum(tf * tf) OVER (PARTITION BY p.doc_id)) AS c, bidf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) AS bm FROM post p JOIN f USING (word) JOIN l USING (doc_id), al),
+sz AS (SELECT doc_id, count(*) AS n, sum(idf * tf) AS s FROM pf GROUP BY doc_id)
+"""
+)
 
 
-def _top(pairs: DataFrame) -> DataFrame:
-    return R.top_k(R.both_ways(pairs), TOP, 9)
+def _scores(name: str, source: str = "pf") -> str:
+    """SQL of the scores of all query documents, as the relation ``name``."""
+    return f""", {name}_m AS (SELECT x.doc_id AS q, y.doc_id AS t, count(*) AS k, sum(x.w * y.w) AS tfidf, sum(x.c * y.c) AS count_cosine, sum(y.bm) AS bm25,
+  coalesce(sum(1.0::DOUBLE / x.cf) FILTER (x.cf <= 3), 0) AS rare, sum(x.idf * least(x.tf, y.tf)) AS low FROM {source} x JOIN {source} y ON x.word = y.word AND x.doc_id <> y.doc_id WHERE x.doc_id % {EVERY} = 0 GROUP BY ALL),
+{name} AS (SELECT q, t, k::DOUBLE AS overlap, tfidf, count_cosine, bm25, rare, k / CAST(a.n + b.n - k AS DOUBLE) AS jaccard, low / (a.s + b.s - low) AS weighted_jaccard FROM {name}_m JOIN sz a ON a.doc_id = q JOIN sz b ON b.doc_id = t)
+"""
 
 
-_JACCARD = (
-    f"WITH {TOK}{_CAPPED}, sz AS (SELECT doc_id, count(*) AS n FROM post GROUP BY doc_id),"
-    " pr AS (SELECT a, b, k / CAST(x.n + y.n - k AS DOUBLE) AS score FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM c x JOIN c y ON x.word = y.word AND x.doc_id < y.doc_id GROUP BY ALL) JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b)"
-)
+DECIMALS = {"bm25": 6, "phrase": 6}
 
 
-@register(_JACCARD + _TOP)
-def jaccard_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _top(D.jaccard_pairs(post(spark, d), DF_CAP))
+def _ranked(score: str, source: str = "sc", k: int = TOP) -> str:
+    d = DECIMALS.get(score, 9)
+    return f"SELECT q, t, score, rank FROM (SELECT q, t, round({score}, {d}) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY round({score}, {d}) DESC, t) AS INTEGER) AS rank FROM {source} WHERE round({score}, {d}) > 0) WHERE rank <= {k}"
 
 
-@register(
-    f"""WITH {TOK}{_CAPPED}, sz AS (SELECT doc_id, sum(tf) AS n FROM post GROUP BY doc_id),
-    pr AS (SELECT a, b, k / CAST(x.n + y.n - k AS DOUBLE) AS score FROM (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.tf, y.tf)) AS k FROM c x JOIN c y ON x.word = y.word AND x.doc_id < y.doc_id GROUP BY ALL) JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b)"""
-    + _TOP
-)
-def weighted_jaccard_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _top(D.weighted_jaccard_pairs(post(spark, d), max_df=DF_CAP))
+def query_docs(p: DataFrame) -> DataFrame:
+    """The documents that are queries: those whose id is divisible by EVERY."""
+    return p.filter(F.col("pid") % EVERY == 0).select("pid").distinct()
 
 
-_TFIDF = (
-    f"WITH {TOK}, r AS (SELECT p.doc_id, word, df, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) AS raw FROM post p JOIN dfs USING (word), nd), w AS (SELECT doc_id, word, df, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS w FROM r),"
-    f" pr AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.w * y.w) AS score FROM w x JOIN w y ON x.word = y.word AND x.doc_id < y.doc_id WHERE x.df <= {DF_CAP} GROUP BY ALL)"
-)
+def profiled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings with weights, the number of documents, and the queries; the texts are read and counted once."""
+    p = materialize(post(spark, d))
+    return S.profiles(p, n_docs(p), SETTINGS.bm25_k1, SETTINGS.bm25_b), n_docs(p), query_docs(p)
 
 
-@register(_TFIDF + _TOP)
-def tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
-    p = post(spark, d)
-    return _top(D.cosine_pairs(X.tfidf(p, n_docs(p)).filter(F.col("df") <= DF_CAP)))
+def _best(spark: SparkSession, d: str, score: str) -> DataFrame:
+    prof, _, queries = profiled(spark, d)
+    return R.top_k(S.scores(prof, queries).select("q", "t", F.col(score).alias("score")), TOP, DECIMALS.get(score, 9))
 
 
-@register(_TFIDF.split(" pr AS")[0].rstrip(",") + " SELECT doc_id, word, round(w, 9) AS w FROM w WHERE df <= 50")
-def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
-    p = post(spark, d)
-    return X.tfidf(p, n_docs(p), max_df=DF_CAP).select(F.col("pid").alias("doc_id"), F.col("feature").alias("word"), F.round("w", 9).alias("w"))
+_TOPS = {"jaccard_topk": "jaccard", "weighted_jaccard_topk": "weighted_jaccard", "tfidf_topk": "tfidf", "bm25_topk": "bm25", "rare_overlap_topk": "rare", "overlap_topk": "overlap", "count_cosine_topk": "count_cosine"}
 
 
-_BM25 = (
-    f"WITH {TOK}{_CAPPED}, l AS (SELECT doc_id, sum(tf)::DOUBLE AS len FROM post GROUP BY doc_id), al AS (SELECT avg(len) AS avg_len FROM l),"
-    " w AS (SELECT c.doc_id, word, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) AS w FROM c JOIN l USING (doc_id), al, nd),"
-    " dr AS (SELECT x.doc_id AS q, y.doc_id AS t, sum(y.w) AS score FROM c x JOIN w y ON x.word = y.word AND x.doc_id <> y.doc_id GROUP BY ALL)"
-)
+def _register_tops() -> None:
+    def one(score: str):
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            return _best(spark, d, score)
 
+        run.__doc__ = f"The best partners of every query document among all documents by {score}, over all words."
+        return run
 
-@register(_BM25 + f"SELECT q, t, score, rank FROM (SELECT q, t, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, t) AS INTEGER) AS rank FROM dr) WHERE rank <= {TOP}")
-def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    p = post(spark, d)
-    return R.top_k(D.bm25_pairs(p, n_docs(p), X.bm25_idf, DF_CAP), TOP, 6)
+    for name, score in _TOPS.items():
+        register(_PROF + _scores("sc") + _ranked(score), name)(one(score))
 
 
-_RARE = f"WITH {TOK}, c AS (SELECT p.*, cf FROM post p JOIN dfs USING (word) WHERE cf <= 3), pr AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(1.0::DOUBLE / x.cf) AS score FROM c x JOIN c y ON x.word = y.word AND x.doc_id < y.doc_id GROUP BY ALL)"
+_register_tops()
 
 
-@register(_RARE + _TOP)
-def rare_overlap_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _top(D.rare_pairs(post(spark, d)))
+@register(_PROF + "SELECT doc_id, word, round(w, 9) AS w FROM pf")
+def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
+    prof, _, _ = profiled(spark, d)
+    return prof.select(F.col("pid").alias("doc_id"), F.col("feature").alias("word"), F.round("w", 9).alias("w"))
 
 
-@register(f"WITH {TOK}{_CAPPED}, pr AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*)::DOUBLE AS score FROM c x JOIN c y ON x.word = y.word AND x.doc_id < y.doc_id GROUP BY ALL)" + _TOP)
-def overlap_topk(spark: SparkSession, d: str) -> DataFrame:
-    pairs = D.shared(post(spark, d), DF_CAP, ()).groupBy("a", "b").agg(F.count("*").cast("double").alias("score"))
-    return _top(pairs)
+_OWN = """, ow AS MATERIALIZED (SELECT DISTINCT g.doc_id, phrase, (greatest(0.0, pmi) + ln(1 + g2)) / (1 + ln(count)) AS w FROM g JOIN g2 USING (phrase))"""
 
 
-@register(
-    f"""WITH {TOK}{_CAPPED}, nm AS (SELECT doc_id, sqrt(sum(tf * tf)) AS norm FROM post GROUP BY doc_id), w AS (SELECT c.doc_id, word, tf / norm AS w FROM c JOIN nm USING (doc_id)),
-    pr AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.w * y.w) AS score FROM w x JOIN w y ON x.word = y.word AND x.doc_id < y.doc_id GROUP BY ALL)"""
-    + _TOP
-)
-def count_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _top(D.count_cosine_pairs(post(spark, d), DF_CAP))
+def phrases(s: DataFrame) -> DataFrame:
+    """The weighted phrases of every document: pid, phrase, weight, distinct."""
+    w = X.phrase_weights(s, (2, 3), MIN_COUNT).select("phrase", "weight")
+    return s.select("pid", F.explode(F.array_distinct(F.concat(X.ngrams(F.col("seq"), 2), X.ngrams(F.col("seq"), 3)))).alias("phrase")).join(w, "phrase")
 
 
 @register(
     _ASSOC
-    + f""", ow AS (SELECT DISTINCT g.doc_id, phrase, (greatest(0.0, pmi) + ln(1 + g2)) / (1 + ln(count)) AS w FROM g JOIN g2 USING (phrase) WHERE g2.df <= {DF_CAP}),
-    pr AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.w) AS score FROM ow x JOIN ow y ON x.phrase = y.phrase AND x.doc_id < y.doc_id GROUP BY ALL)"""
-    + _TOP.replace(", 9)", ", 6)")
+    + _OWN
+    + f""", pr AS (SELECT x.doc_id AS q, y.doc_id AS t, sum(x.w) AS phrase FROM ow x JOIN ow y ON x.phrase = y.phrase AND x.doc_id <> y.doc_id WHERE x.doc_id % {EVERY} = 0 GROUP BY ALL) """
+    + _ranked("phrase", "pr")
 )
 def phrase_overlap_topk(spark: SparkSession, d: str) -> DataFrame:
-    s = seqs(spark, d)
-    w = X.phrase_weights(s, (2, 3), MIN_COUNT).filter(F.col("df") <= DF_CAP).select("phrase", "weight")
-    own = s.select("pid", F.explode(F.array_distinct(F.concat(X.ngrams(F.col("seq"), 2), X.ngrams(F.col("seq"), 3)))).alias("phrase")).join(w, "phrase")
-    pairs = D.shared(own.withColumnRenamed("phrase", "feature"), None, ("weight",)).groupBy("a", "b").agg(F.sum("weight_a").alias("score"))
-    return R.top_k(R.both_ways(pairs), TOP, 6)
+    own = materialize(phrases(materialize(seqs(spark, d))))
+    x = own.filter(F.col("pid") % EVERY == 0).select(F.col("pid").alias("q"), "phrase", "weight")
+    both = x.join(own.select(F.col("pid").alias("t"), "phrase"), "phrase").filter("q <> t").groupBy("q", "t").agg(F.sum("weight").alias("score"))
+    return R.top_k(both, TOP, 6)
 
 
-# --- fusion
-
-_RANKS = (
-    _TFIDF
-    + f""", rt AS ({_TOP}), prj AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*)::DOUBLE AS score FROM w x JOIN w y ON x.word = y.word AND x.doc_id < y.doc_id WHERE x.df <= {DF_CAP} GROUP BY ALL), ro AS ({_TOP.replace('FROM pr', 'FROM prj')}),
-    rc AS (SELECT p.*, cf FROM post p JOIN dfs USING (word) WHERE cf <= 3), prr AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(1.0::DOUBLE / x.cf) AS score FROM rc x JOIN rc y ON x.word = y.word AND x.doc_id < y.doc_id GROUP BY ALL), rr AS ({_TOP.replace('FROM pr', 'FROM prr')}),
-    rk AS (SELECT 'tfidf' AS detector, * FROM rt UNION ALL SELECT 'overlap', * FROM ro UNION ALL SELECT 'rare', * FROM rr)
+_PROPOSED = _scores("cp", "cf") + (
+    ", rp AS ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS detector, * FROM ({_ranked(n, 'cp', SETTINGS.proposal_k)})" for n in S.PROPOSERS)
+    + f"""), up AS (SELECT q, t, rrf, proposals FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rrf DESC, t) AS r FROM (SELECT q, t, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, count(*) AS proposals FROM rp GROUP BY q, t)) WHERE r <= {SETTINGS.proposal_k})
 """
 )
+_CF = f", cf AS (SELECT pf.* FROM pf, nd WHERE df <= n * {SETTINGS.proposal_df_ratio})"
+
+
+def _proposals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    prof, n, queries = profiled(spark, d)
+    prof = materialize(prof)
+    return materialize(S.propose(prof, queries, n, SETTINGS.proposal_k, SETTINGS.proposal_df_ratio, DECIMALS)), prof, queries
+
+
+@register(_PROF + _CF + _PROPOSED + _scores("sc") + "SELECT q, t, rrf, proposals, round(jaccard, 9) AS jaccard, round(weighted_jaccard, 9) AS weighted_jaccard, round(tfidf, 9) AS tfidf, round(bm25, 6) AS bm25, round(rare, 9) AS rare FROM up JOIN sc USING (q, t)")
+def proposed_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The proposed partners of every query, proposed by words of at most a quarter of the documents and scored over all words."""
+    up, prof, queries = _proposals(spark, d)
+    sc = S.scores(prof, queries, pairs=up)
+    return up.join(sc, ["q", "t"]).select("q", "t", "rrf", "proposals", *[F.round(n, DECIMALS.get(n, 9)).alias(n) for n in ("jaccard", "weighted_jaccard", "tfidf", "bm25", "rare")])
+
+
+def reranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Ranks by nine detectors and their fusion for every query. Word lengths and last letters stand in for parts of speech and forms."""
+    up, prof, queries = _proposals(spark, d)
+    s = materialize(seqs(spark, d))
+    own = materialize(phrases(s))
+    pairs = up.select("q", "t").join(S.scores(prof, queries, pairs=up), ["q", "t"]).join(S.phrase_scores(up, own), ["q", "t"], "left")
+    layers = [F.transform("seq", lambda w: F.least(F.length(w), F.lit(9)).cast("string")), F.transform("seq", lambda w: F.right(w, F.lit(1)))]
+    idf = prof.groupBy("feature").agg(F.first("idf").alias("idf"))
+    return S.rerank(pairs, s, layers, idf, SETTINGS.rerank_k, SETTINGS.persisted_k, SETTINGS.rerank_k)
+
+
+@register()
+def retrieval_fused(spark: SparkSession, d: str) -> DataFrame:
+    """The best partners of every query by fusion of nine detectors, one a family. Alignments aren't SQL; tested on small texts."""
+    return reranked(spark, d)[1]
+
+
+@register()
+def retrieval_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """The rank of every proposed partner by each of the nine detectors."""
+    return reranked(spark, d)[0]
+
+
+# --- fusion
+
+_RANKS = _PROF + _scores("sc") + ", rk AS (" + " UNION ALL ".join(f"SELECT '{n}' AS detector, * FROM ({_ranked(n)})" for n in S.PROPOSERS) + ")\n"
 
 
 def rankings(spark: SparkSession, d: str) -> DataFrame:
-    """Three proposal rankings of every document."""
-    p = post(spark, d)
-    w = X.tfidf(p, n_docs(p)).filter(F.col("df") <= DF_CAP)
-    return R.union_rankings({
-        "tfidf": _top(D.cosine_pairs(w)), "rare": _top(D.rare_pairs(p)),
-        "overlap": _top(D.shared(w, None, ()).groupBy("a", "b").agg(F.count("*").cast("double").alias("score"))),
-    })
+    """The rankings of every query document by the four proposing detectors, over all words, from one join."""
+    prof, _, queries = profiled(spark, d)
+    return materialize(S.rank_by(S.scores(prof, queries), S.PROPOSERS, TOP, DECIMALS))
 
 
-FAMILY = {"tfidf": "set", "overlap": "set", "rare": "rare"}
+FAMILY = {n: S.FAMILIES[n] for n in S.PROPOSERS}
 
 
 @register(_RANKS + "SELECT q, t, count(*) AS n_detectors, string_agg(detector, ',' ORDER BY detector) AS detectors, CAST(min(rank) AS INTEGER) AS best_rank FROM rk GROUP BY q, t")
@@ -315,7 +346,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     _RANKS
-    + """SELECT q, t, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, count(*) AS detectors FROM (SELECT *, row_number() OVER (PARTITION BY q, t, CASE WHEN detector = 'rare' THEN 'rare' ELSE 'set' END ORDER BY rank, detector) AS f FROM rk) WHERE f = 1 GROUP BY q, t"""
+    + """SELECT q, t, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, count(*) AS detectors FROM (SELECT *, row_number() OVER (PARTITION BY q, t, CASE detector WHEN 'rare' THEN 'rare' WHEN 'overlap' THEN 'set' ELSE 'vector' END ORDER BY rank, detector) AS f FROM rk) WHERE f = 1 GROUP BY q, t"""
 )
 def rrf_best_family(spark: SparkSession, d: str) -> DataFrame:
     return R.fuse(rankings(spark, d), families=FAMILY, best_of_family=True).withColumn("score", F.round("score", 9))
@@ -348,18 +379,22 @@ def canonical_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     _RANKS
-    + """, f AS (SELECT q, t, sum(1.0::DOUBLE / (60 + rank)) AS s FROM rk GROUP BY q, t)
-    SELECT least(q, t) AS a, greatest(q, t) AS b, round(max(s), 9) AS best, round(max(CASE WHEN q < t THEN s END), 9) AS forward, round(max(CASE WHEN q > t THEN s END), 9) AS backward FROM f GROUP BY ALL"""
+    + """, fz AS (SELECT q, t, sum(1.0::DOUBLE / (60 + rank)) AS s FROM rk GROUP BY q, t)
+    SELECT least(q, t) AS a, greatest(q, t) AS b, round(max(s), 9) AS best, round(max(CASE WHEN q < t THEN s END), 9) AS forward, round(max(CASE WHEN q > t THEN s END), 9) AS backward FROM fz GROUP BY ALL"""
 )
 def directional_merge(spark: SparkSession, d: str) -> DataFrame:
     m = R.merge_directions(R.fuse(rankings(spark, d)))
     return m.select("a", "b", *[F.round(c, 9).alias(c) for c in ("best", "forward", "backward")])
 
 
+_RARE = f"WITH {TOK}, c AS (SELECT p.*, cf FROM post p JOIN dfs USING (word) WHERE cf <= 3), pr AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(1.0::DOUBLE / x.cf) AS score FROM c x JOIN c y ON x.word = y.word AND x.doc_id < y.doc_id GROUP BY ALL)"
+
+
 @register(
     _RARE
-    + """, ow AS (SELECT doc_id, word, list(pos ORDER BY pos) AS p FROM tok GROUP BY doc_id, word), top AS (SELECT a, b FROM pr WHERE score >= 1.0)
-    SELECT a, b, x.word AS feature, array_to_string(x.p, ',') AS pos_a, array_to_string(y.p, ',') AS pos_b FROM top JOIN ow x ON x.doc_id = a JOIN ow y ON y.doc_id = b AND y.word = x.word"""
+    + """, ow AS MATERIALIZED (SELECT doc_id, word, list(pos ORDER BY pos) AS p FROM tok GROUP BY doc_id, word), top AS MATERIALIZED (SELECT a, b FROM pr WHERE score >= 1.0),
+    left_side AS MATERIALIZED (SELECT a, b, x.word, x.p FROM top JOIN ow x ON x.doc_id = a)
+    SELECT a, b, x.word AS feature, array_to_string(x.p, ',') AS pos_a, array_to_string(y.p, ',') AS pos_b FROM left_side x JOIN ow y ON y.doc_id = b AND y.word = x.word"""
 )
 def shared_evidence(spark: SparkSession, d: str) -> DataFrame:
     o = occ(spark, d)
@@ -368,11 +403,10 @@ def shared_evidence(spark: SparkSession, d: str) -> DataFrame:
     return e.select("a", "b", "feature", F.array_join(F.transform("pos_a", lambda x: x.cast("string")), ",").alias("pos_a"), F.array_join(F.transform("pos_b", lambda x: x.cast("string")), ",").alias("pos_b"))
 
 
-@register(_JACCARD + "SELECT a, b, round(score, 9) AS score FROM pr WHERE score >= 0.8")
-def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    """As its SQL twin has it: shared words count only up to DF_CAP documents, so pairs of common words are missed. All
-    pairs are in ``near_duplicates_whole``."""
-    return D.jaccard_pairs(post(spark, d), DF_CAP).filter("score >= 0.8").select("a", "b", F.round("score", 9).alias("score"))
+_ALL_JACCARD = (
+    f"WITH {TOK}, sz AS (SELECT doc_id, count(*) AS n FROM post GROUP BY doc_id),"
+    " pr AS (SELECT a, b, k / CAST(x.n + y.n - k AS DOUBLE) AS score FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM post x JOIN post y ON x.word = y.word AND x.doc_id < y.doc_id GROUP BY ALL) JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b)"
+)
 
 
 def _classes(s: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -383,8 +417,8 @@ def _classes(s: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return members, s.join(members.filter("pid = cls").select("pid"), "pid", "left_semi").drop("h")
 
 
-@register(_JACCARD.replace(_CAPPED, ", c AS (SELECT * FROM post)") + "SELECT a, b, round(score, 9) AS score FROM pr WHERE score >= 0.8")
-def near_duplicates_whole(spark: SparkSession, d: str) -> DataFrame:
+@register(_ALL_JACCARD + "SELECT a, b, round(score, 9) AS score FROM pr WHERE score >= 0.8")
+def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of documents whose word sets have a Jaccard similarity of at least 0.8, over all words. Equal sets are
     one class; classes are joined by prefixes without a limit on document frequency and verified on the whole sets."""
     s = seqs(spark, d).select("pid", F.array_sort(F.array_distinct("seq")).alias("tokens"))
@@ -402,18 +436,24 @@ def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return t.join(cls, "h").select("doc_id", "class_id", "class_size")
 
 
-def _proposed(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
+def proposed_pairs(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """The unordered pairs of every query and its ``k`` best proposed partners: a, b."""
+    up, _, _ = _proposals(spark, d)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("rrf"), "t"))
+    return materialize(R.neighbour_pairs(up.withColumn("r", rank).filter(F.col("r") <= k)))
+
+
+def _proposed(spark: SparkSession, d: str, k: int) -> DataFrame:
     """Proposed pairs with both sequences, for detectors that need them."""
-    p = post(spark, d)
-    pairs = R.neighbour_pairs(R.top_k(R.both_ways(D.rare_pairs(p)), k))
+    pairs = proposed_pairs(spark, d, k)
     s = seqs(spark, d)
     return pairs.join(s.select(F.col("pid").alias("a"), F.col("seq").alias("sa")), "a").join(s.select(F.col("pid").alias("b"), F.col("seq").alias("sb")), "b")
 
 
 @register()
 def lcs_rerank(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs by rare overlap, reranked by longest common subsequence. Python UDF: tested against brute force."""
-    x = _proposed(spark, d).withColumn("n", D.lcs_length("sa", "sb")).withColumn("score", D.lcs_score(F.col("n"), F.col("sa"), F.col("sb")))
+    """All proposed partners of every query, reranked by longest common subsequence. Python UDF: tested against brute force."""
+    x = _proposed(spark, d, SETTINGS.proposal_k).withColumn("n", D.lcs_length("sa", "sb")).withColumn("score", D.lcs_score(F.col("n"), F.col("sa"), F.col("sb")))
     return R.top_k(R.both_ways(x), TOP, 9)
 
 
@@ -425,15 +465,15 @@ def edit_distance_pairs(spark: SparkSession, d: str) -> DataFrame:
     """
     members, texts = _classes(seqs(spark, d), "seq")
     found = D.expand_classes(members, D.similar_sequences(texts, 0.95), edits=F.lit(0)).withColumn("near_exact", F.lit(True))
-    x = _proposed(spark, d).withColumn("edits", D.token_edits("sa", "sb"))
+    x = _proposed(spark, d, 5).withColumn("edits", D.token_edits("sa", "sb"))
     x = x.select("a", "b", "edits", D.near_exact(F.col("edits"), F.col("sa"), F.col("sb")).alias("near_exact"))
     return found.unionByName(x.filter("not near_exact"))
 
 
 @register()
 def alignment_rerank(spark: SparkSession, d: str) -> DataFrame:
-    """Proposed pairs with global alignment similarity of their words."""
-    return _proposed(spark, d, 3).select("a", "b", F.round(D.aligned_similarity("sa", "sb"), 9).alias("score"))
+    """The best proposed partners of every query with the global alignment similarity of their words."""
+    return _proposed(spark, d, SETTINGS.rerank_k).select("a", "b", F.round(D.aligned_similarity("sa", "sb"), 9).alias("score"))
 
 
 @register(

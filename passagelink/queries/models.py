@@ -207,10 +207,10 @@ def rare_rule(spark: SparkSession, d: str) -> DataFrame:
     o = L.occ(spark, d)
     post = o.groupBy("pid", "feature").agg(F.count("*").alias("tf"))
     stats = post.groupBy("feature").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    pairs = R.neighbour_pairs(R.top_k(R.both_ways(D.rare_pairs(post)), 2))
-    ev = D.shared_evidence(o, pairs).join(stats, "feature")
+    pairs = L.proposed_pairs(spark, d, L.SETTINGS.rerank_k)
+    ev = D.shared_evidence(o, pairs).join(stats, "feature").crossJoin(F.broadcast(L.n_docs(post)))
     sig = F.concat_ws(",", F.transform("pos_a", lambda x: F.lpad(x.cast("string"), 9, "0")), F.lit(";"), F.transform("pos_b", lambda x: F.lpad(x.cast("string"), 9, "0")))
-    row = F.struct(F.lit("lemma").alias("family"), F.col("feature").alias("value"), F.sha2("feature", 256).alias("feature_id"), sig.alias("positions"), (F.col("cf") <= 3).alias("is_rare"), (F.col("df") > 50).alias("is_high"))
+    row = F.struct(F.lit("lemma").alias("family"), F.col("feature").alias("value"), F.sha2("feature", 256).alias("feature_id"), sig.alias("positions"), (F.col("cf") <= 3).alias("is_rare"), (F.col("df") >= F.col("n") * L.SETTINGS.high_df_ratio).alias("is_high"))
     rows = ev.groupBy("a", "b").agg(F.collect_list(row).alias("rows"))
     s = L.seqs(spark, d)
     pos = F.transform("seq", lambda w: F.least(F.length(w), F.lit(9)).cast("string"))
@@ -228,10 +228,10 @@ def _ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
 @register(
     L._RANKS
     + """, c AS (SELECT least(q, t) || '|' || greatest(q, t) AS candidate, CASE WHEN q < t THEN 'f' ELSE 'b' END AS direction, detector, rank, least(q, t) AS lo FROM rk),
-    s AS (SELECT candidate, direction, sum(1.0::DOUBLE / (60 + rank)) AS f, coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (detector <> 'tfidf'), 0) AS t, coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (detector <> 'rare'), 0) AS r FROM c GROUP BY ALL),
-    m AS (SELECT candidate, max(f) AS f, max(t) AS t, max(r) AS r FROM s GROUP BY candidate), st AS (SELECT DISTINCT candidate, CASE WHEN lo % 3 = 0 THEN 0.5 ELSE 1 END AS pf, CASE WHEN lo % 5 = 0 THEN 0.5 ELSE 1 END AS pl, CASE WHEN lo % 7 = 0 THEN 0.25 ELSE 1 END AS ps FROM c)
+    s AS (SELECT candidate, direction, sum(1.0::DOUBLE / (60 + rank)) AS f, coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (detector <> 'tfidf'), 0) AS t, coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (detector <> 'rare'), 0) AS r, coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (detector <> 'bm25'), 0) AS b FROM c GROUP BY ALL),
+    m AS (SELECT candidate, max(f) AS f, max(t) AS t, max(r) AS r, max(b) AS b FROM s GROUP BY candidate), st AS (SELECT DISTINCT candidate, CASE WHEN lo % 3 = 0 THEN 0.5 ELSE 1 END AS pf, CASE WHEN lo % 5 = 0 THEN 0.5 ELSE 1 END AS pl, CASE WHEN lo % 7 = 0 THEN 0.25 ELSE 1 END AS ps FROM c)
     SELECT candidate, ablation, round(score, 9) AS score FROM (SELECT candidate, unnest(['full', 'remove_tfidf', 'remove_bm25', 'remove_rare_evidence', 'remove_phrase_evidence', 'remove_ordered_sequence', 'remove_formulaic_penalty', 'remove_local_context_penalty', 'remove_all_english_derived_features']) AS ablation,
-     unnest([f * pf * pl * ps, t * pf * pl * ps, f * pf * pl * ps, r * pf * pl * ps, f * pf * pl * ps, f * pf * pl * ps, f * pl * ps, f * pf * ps, f * pf * pl * ps]) AS score FROM m JOIN st USING (candidate))"""
+     unnest([f * pf * pl * ps, t * pf * pl * ps, b * pf * pl * ps, r * pf * pl * ps, f * pf * pl * ps, f * pf * pl * ps, f * pl * ps, f * pf * ps, f * pf * pl * ps]) AS score FROM m JOIN st USING (candidate))"""
 )
 def candidate_ablations(spark: SparkSession, d: str) -> DataFrame:
     """Adjusted fused scores of all candidates in full and under every ablation. Document ids stand in for the penalties' causes."""
@@ -267,7 +267,7 @@ def _annotated(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents with stand-in annotations of their whole texts, of any length."""
     # words are joined and annotated afterwards, as annotations are several times their size
     s = L.seqs(spark, d)
-    pairs = materialize(R.neighbour_pairs(R.top_k(R.both_ways(D.rare_pairs(L.post(spark, d))), 1)))
+    pairs = L.proposed_pairs(spark, d, 5)
     used = pairs.select(F.explode(F.array("a", "b")).alias("pid")).distinct()
     s = materialize(s.join(used, "pid", "left_semi"))
     side = lambda n: s.select(F.col("pid").alias(n), F.col("seq").alias(f"seq_{n}"))

@@ -28,7 +28,7 @@ def test_near_duplicates_of_common_words(spark, folder):
     # every word stands in all of 60 documents but for the pair's differences
     docs = [(i, words(*range(20), *range(1000 + 40 * i, 1030 + 40 * i)), "en", "s") for i in range(60)]
     docs += [(100 + i, words(*range(20)), "en", "s") for i in range(3)] + [(200, words(*range(19)), "en", "s"), (201, None, "en", "s"), (202, None, "en", "s")]
-    got = {(r.a, r.b): r.score for r in L.near_duplicates_whole(spark, folder(documents=(docs, DOCS))).collect()}
+    got = {(r.a, r.b): r.score for r in L.near_duplicates(spark, folder(documents=(docs, DOCS))).collect()}
     assert got == {(100, 101): 1.0, (100, 102): 1.0, (101, 102): 1.0, (100, 200): 0.95, (101, 200): 0.95, (102, 200): 0.95}
 
 
