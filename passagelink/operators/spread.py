@@ -52,3 +52,23 @@ def numbered(df: DataFrame, *order: str | Column, name: str = "position") -> Dat
     sizes = lined.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     start = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))  # a row a partition
     return lined.withColumn("_part", part).join(F.broadcast(start), "_part").withColumn(name, F.col("_start") + F.col("_id").bitwiseAND(F.lit(2**33 - 1))).drop("_id", "_part", "_start")
+
+
+def running(df: DataFrame, keys: list[str], order: list[str | Column], value: str, name: str, how: str = "sum") -> DataFrame:
+    """``df`` with the running sum (or ``how`` = min) of ``value`` within ``keys`` in the order ``order``, its own row included.
+
+    No task holds a key or the whole: rows are range-partitioned by (keys, order), summed within each partition, and the
+    totals, one row for each key in each partition, carry over. ``order`` must be total within a key. The sorted rows
+    are written once. Null keys are a key of their own.
+    """
+    fold, join = (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))) if how == "sum" else (F.min, lambda a, b: F.least(a, b))
+    lined = df.repartitionByRange(shuffle_width(df.sparkSession), *keys, *order).sortWithinPartitions(*keys, *order).withColumn("_id", F.monotonically_increasing_id())
+    lined = materialize(lined).withColumn("_part", F.shiftright("_id", 33))
+    marks = [f"_key{k}" for k in range(len(keys))]
+    # a key as one value that is equal to itself also where it is null
+    lined = lined.withColumns({m: F.xxhash64(F.lit(1), F.col(k).isNull(), F.col(k)) for m, k in zip(marks, keys)})
+    own = fold(value).over(Window.partitionBy("_part", *marks).orderBy("_id").rowsBetween(Window.unboundedPreceding, 0))
+    parts = lined.groupBy("_part", *marks).agg(fold(value).alias("_all"))
+    before = fold("_all").over(Window.partitionBy(*marks, F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = parts.select("_part", *marks, before.alias("_before"))
+    return lined.withColumn("_own", own).join(carried, ["_part", *marks]).withColumn(name, join(F.col("_own"), F.col("_before"))).drop("_id", "_part", "_own", "_before", *marks)

@@ -10,23 +10,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagelink.operators.spread import running
+
 
 def benjamini_hochberg(df: DataFrame, p: str, ident: str, family: list[str] | None = None, q: str = "q_value") -> DataFrame:
     """Benjamini-Hochberg q-values within each family; null p-values are not tested and get null.
 
-    Equal p-values share the q-value of their last rank, so the windows run over the distinct p-values of a family with
-    their counts (for empirical p-values a few thousand rows, whatever the number of tests), and the q-values are joined
-    back. ``ident`` only names the rows; it decides nothing.
+    Equal p-values share the q-value of their last rank, so ranks and minima run over the distinct p-values of a family with
+    their counts, in slices that carry over, and the q-values are joined back: no family has to fit into a task. ``ident`` only names the rows; it decides nothing.
     """
     keys = family or []
-    tested = df.filter(F.col(p).isNotNull())
-    bins = tested.groupBy(*[F.col(k).alias(f"bh_{k}") for k in keys], F.col(p).alias("bh_p")).agg(F.count("*").alias("k"))
-    part = Window.partitionBy(*[f"bh_{k}" for k in keys]) if keys else Window.partitionBy(F.lit(0))
-    upto = F.sum("k").over(part.orderBy("bh_p").rowsBetween(Window.unboundedPreceding, 0))
-    raw = bins.withColumn("upto", upto).withColumn("raw", F.col("bh_p") * F.sum("k").over(part) / F.col("upto"))
-    # downward, as a frame that starts at the current row is computed anew for every row
-    low = F.min("raw").over(part.orderBy(F.desc("bh_p")).rowsBetween(Window.unboundedPreceding, 0))
-    out = raw.select(*[f"bh_{k}" for k in keys], "bh_p", F.least(F.lit(1.0), low).alias(q))
+    named = [f"bh_{k}" for k in keys]
+    bins = df.filter(F.col(p).isNotNull()).groupBy(*[F.col(k).alias(n) for k, n in zip(keys, named)], F.col(p).alias("bh_p")).agg(F.count("*").alias("k"))
+    upto = running(bins, named, ["bh_p"], "k", "upto")
+    if keys:
+        total = upto.groupBy(*[F.col(n).alias(f"{n}_") for n in named]).agg(F.sum("k").alias("total"))
+        on = None
+        for n in named:
+            one = F.col(n).eqNullSafe(F.col(f"{n}_"))
+            on = one if on is None else on & one
+        raw = upto.join(total, on)
+    else:
+        raw = upto.crossJoin(F.broadcast(upto.agg(F.sum("k").alias("total"))))  # one row
+    raw = raw.select(*named, "bh_p", (F.col("bh_p") * F.col("total") / F.col("upto")).alias("raw"))
+    low = running(raw, named, [F.desc("bh_p")], "raw", "low", "min")
+    out = low.select(*named, "bh_p", F.least(F.lit(1.0), F.col("low")).alias(q))
     same = F.col(p) == F.col("bh_p")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"bh_{k}"))
@@ -46,6 +54,17 @@ def midrank(df: DataFrame, value: str, group: list[str], name: str = "percentile
     return df.join(score, [*group, value])
 
 
+def upper_tail(df: DataFrame, value: str, group: list[str]) -> DataFrame:
+    """Every row with ``n_ge``, how many of its group have its value or a higher one, and ``n``, the size of the group.
+
+    Distinct values are counted in slices that carry over, so no group has to fit into a task. Groups aren't null.
+    """
+    bins = df.groupBy(*group, value).agg(F.count("*").alias("k"))
+    ge = running(bins, group, [F.desc(value)], "k", "n_ge").select(*group, value, "n_ge")
+    size = bins.groupBy(*group).agg(F.sum("k").alias("n"))
+    return df.join(ge, [*group, value]).join(size, group)
+
+
 def mad(df: DataFrame, value: str, group: list[str]) -> DataFrame:
     """Exact median and median absolute deviation of each group."""
     m = df.groupBy(*group).agg(F.median(value).alias("median"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagelink.operators.spread import running
+
 
 def select_reading(tokens: DataFrame, reading: str, group: str = "variant_group_id", kind: str = "variant_type", order: str = "position", verse: str = "verse", clause: str = "clause_id") -> DataFrame:
     """Tokens of one reading: of a complete pair (both qere and ketiv) only the chosen reading, all else as it is.
@@ -23,10 +25,10 @@ def select_reading(tokens: DataFrame, reading: str, group: str = "variant_group_
 def with_stream_position(df: DataFrame, unit: str, order: str, name: str = "stream_position") -> DataFrame:
     """A running number over the whole table in the order of ``order``, where each unit is a contiguous stretch of it.
 
-    Rows are numbered within their unit; the units' sizes are summed in one narrow window of a row per unit.
+    Rows are numbered within their unit; the units' sizes are summed in slices that carry over.
     """
-    sizes = df.groupBy(unit).agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = running(df.groupBy(unit).agg(F.min(order).alias("first"), F.count("*").alias("n")), [], ["first"], "n", "upto")
+    before = F.col("upto") - F.col("n")
     own = F.row_number().over(Window.partitionBy(unit).orderBy(order))
     return df.withColumn("own", own).join(sizes.select(unit, before.alias("before")), unit).withColumn(name, F.col("own") + F.col("before")).drop("own", "before")
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from passagelink.operators.spread import hot_keys, numbered, spread_join
+from passagelink.operators.spread import hot_keys, numbered, running, spread_join
 
 
 def rows(df):
@@ -29,3 +29,18 @@ def test_numbered(spark):
     assert [(r.v, r.position) for r in numbered(df, "v").orderBy("position").collect()] == [(i, i) for i in range(1000)]
     assert [r.v for r in numbered(df, F.desc("v"), name="p").orderBy("p").limit(3).collect()] == [999, 998, 997]
     assert numbered(df.limit(0), "v").count() == 0
+
+
+def test_running(spark):
+    data = [(k % 3 if k % 4 else None, k * 7919 % 200, k % 11) for k in range(200)]
+    df = spark.createDataFrame(data, "g int, v int, w int")
+    want, low = {}, {}
+    for g in {g for g, _, _ in data}:
+        n, m = 0, 99
+        for v, w in sorted((v, w) for h, v, w in data if h == g):
+            n, m = n + w, min(m, w)
+            want[g, v], low[g, v] = n, m
+    assert {(r.g, r.v): r.s for r in running(df, ["g"], ["v"], "w", "s").collect()} == want
+    assert {(r.g, r.v): r.s for r in running(df, ["g"], ["v"], "w", "s", "min").collect()} == low
+    assert [r.s for r in running(df.filter("v < 3"), [], [F.desc("v")], "v", "s").orderBy("v").collect()] == [3, 3, 2]
+    assert running(df.limit(0), ["g"], ["v"], "w", "s").count() == 0
