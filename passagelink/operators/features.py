@@ -50,11 +50,9 @@ def vocabulary(occ: DataFrame, passages: DataFrame, token: str | None = None, ra
     when it occurs in several passages. passages(pid, book, genre). Columns out: feature, corpus_frequency,
     document_frequency, book_frequency, genre_frequency, idf, is_rare, is_high_frequency, is_formulaic.
     """
-    joined = occ.join(passages.select("pid", "book", "genre"), "pid")
-    one = F.count("*") if token is None else F.count_distinct(token)
-    agg = joined.groupBy("feature").agg(
-        one.alias("corpus_frequency"), F.count_distinct("pid").alias("document_frequency"), F.count_distinct("book").alias("book_frequency"), F.count_distinct("genre").alias("genre_frequency")
-    )
+    agg = family_vocabulary(occ.select("pid", "feature", F.lit("").alias("family")), passages).drop("family")
+    if token is not None:
+        agg = agg.drop("corpus_frequency").join(occ.select("feature", token).distinct().groupBy("feature").agg(F.count(token).alias("corpus_frequency")), "feature")
     total = passages.agg(F.count_distinct("pid").alias("n_passages"))
     df, n = F.col("document_frequency"), F.col("n_passages")
     return agg.crossJoin(one_row(total)).select(
@@ -64,6 +62,17 @@ def vocabulary(occ: DataFrame, passages: DataFrame, token: str | None = None, ra
     )
 
 
+def family_vocabulary(occ: DataFrame, passages: DataFrame) -> DataFrame:
+    """Frequencies of the features of several families: occ(pid, family, feature), one row an occurrence; passages(pid, book,
+    genre). Columns out: family, feature, corpus_frequency, document_frequency, book_frequency, genre_frequency.
+
+    Occurrences combine by passage first, then by (book, genre), so the distinct counts run over few rows.
+    """
+    per = occ.groupBy("family", "feature", "pid").agg(F.count("*").alias("tf")).join(passages.select("pid", "book", "genre"), "pid")
+    place = per.groupBy("family", "feature", "book", "genre").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    return place.groupBy("family", "feature").agg(F.sum("tf").alias("corpus_frequency"), F.sum("df").alias("document_frequency"), F.count_distinct("book").alias("book_frequency"), F.count_distinct("genre").alias("genre_frequency"))
+
+
 def combine_vocabularies(*frames: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row for each (family, feature) of several vocabularies, and those that were given inconsistently."""
     every = frames[0]
@@ -255,9 +264,11 @@ def structural_signature(frames: Column, participants: Column, entities: Column)
     return let(_clean(frames), lambda f: let(_clean(participants), lambda p: let(acts(f), lambda a: every(f, p, a))))
 
 
-def frequency_change(before: DataFrame, after: DataFrame, k: int = 25) -> DataFrame:
-    """Features whose counts differ most between two readings of the passages that both have: the first k by (absolute
-    change downward, feature). before, after: occurrences. Columns out: feature, n_before, n_after, change."""
+def frequency_change(before: DataFrame, after: DataFrame, k: int = 25, same: bool = True) -> DataFrame:
+    """Features whose counts differ most between two readings of the passages that both have (all, if not ``same``): the
+    first k by (absolute change downward, feature). before, after: occurrences. Columns out: feature, n_before, n_after, change."""
+    if not same:
+        before, after = before.withColumn("pid", F.lit(0)), after.withColumn("pid", F.lit(0))
     both = before.select("pid").distinct().join(after.select("pid").distinct(), "pid", "left_semi")
     count = lambda o, n: o.join(both, "pid", "left_semi").groupBy("feature").agg(F.count("*").alias(n))
     out = count(before, "n_before").join(count(after, "n_after"), "feature", "full_outer").na.fill(0, ["n_before", "n_after"])
