@@ -436,16 +436,20 @@ def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return t.join(cls, "h").select("doc_id", "class_id", "class_size")
 
 
-def proposed_pairs(spark: SparkSession, d: str, k: int) -> DataFrame:
-    """The unordered pairs of every query and its ``k`` best proposed partners: a, b."""
-    up, _, _ = _proposals(spark, d)
+def proposed_pairs(spark: SparkSession, d: str, k: int, rare: int) -> DataFrame:
+    """The unordered pairs of every query and its ``k`` best proposed partners, and of every document and the ``rare`` best
+    of those it shares rare words with: a, b."""
+    up, prof, _ = _proposals(spark, d)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("rrf"), "t"))
-    return materialize(R.neighbour_pairs(up.withColumn("r", rank).filter(F.col("r") <= k)))
+    near = up.withColumn("r", rank).filter(F.col("r") <= k).select("q", "t")
+    if rare:
+        near = near.unionByName(R.top_k(R.both_ways(D.rare_pairs(prof.select("pid", "feature", "tf"))), rare).select("q", "t"))
+    return materialize(R.neighbour_pairs(near))
 
 
-def _proposed(spark: SparkSession, d: str, k: int) -> DataFrame:
+def _proposed(spark: SparkSession, d: str, k: int, rare: int) -> DataFrame:
     """Proposed pairs with both sequences, for detectors that need them."""
-    pairs = proposed_pairs(spark, d, k)
+    pairs = proposed_pairs(spark, d, k, rare)
     s = seqs(spark, d)
     return pairs.join(s.select(F.col("pid").alias("a"), F.col("seq").alias("sa")), "a").join(s.select(F.col("pid").alias("b"), F.col("seq").alias("sb")), "b")
 
@@ -453,7 +457,7 @@ def _proposed(spark: SparkSession, d: str, k: int) -> DataFrame:
 @register()
 def lcs_rerank(spark: SparkSession, d: str) -> DataFrame:
     """All proposed partners of every query, reranked by longest common subsequence. Python UDF: tested against brute force."""
-    x = _proposed(spark, d, SETTINGS.proposal_k).withColumn("n", D.lcs_length("sa", "sb")).withColumn("score", D.lcs_score(F.col("n"), F.col("sa"), F.col("sb")))
+    x = _proposed(spark, d, SETTINGS.proposal_k, 5).withColumn("n", D.lcs_length("sa", "sb")).withColumn("score", D.lcs_score(F.col("n"), F.col("sa"), F.col("sb")))
     return R.top_k(R.both_ways(x), TOP, 9)
 
 
@@ -465,7 +469,7 @@ def edit_distance_pairs(spark: SparkSession, d: str) -> DataFrame:
     """
     members, texts = _classes(seqs(spark, d), "seq")
     found = D.expand_classes(members, D.similar_sequences(texts, 0.95), edits=F.lit(0)).withColumn("near_exact", F.lit(True))
-    x = _proposed(spark, d, 5).withColumn("edits", D.token_edits("sa", "sb"))
+    x = _proposed(spark, d, 5, 5).withColumn("edits", D.token_edits("sa", "sb"))
     x = x.select("a", "b", "edits", D.near_exact(F.col("edits"), F.col("sa"), F.col("sb")).alias("near_exact"))
     return found.unionByName(x.filter("not near_exact"))
 
@@ -473,7 +477,7 @@ def edit_distance_pairs(spark: SparkSession, d: str) -> DataFrame:
 @register()
 def alignment_rerank(spark: SparkSession, d: str) -> DataFrame:
     """The best proposed partners of every query with the global alignment similarity of their words."""
-    return _proposed(spark, d, SETTINGS.rerank_k).select("a", "b", F.round(D.aligned_similarity("sa", "sb"), 9).alias("score"))
+    return _proposed(spark, d, SETTINGS.rerank_k, 3).select("a", "b", F.round(D.aligned_similarity("sa", "sb"), 9).alias("score"))
 
 
 @register(

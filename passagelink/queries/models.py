@@ -190,6 +190,26 @@ def nearby_negatives(spark: SparkSession, d: str) -> DataFrame:
     return B.presumed_negatives(p, templates, known, None, "nearby_context_unlinked", 5, tokens=m)
 
 
+@register()
+def book_pair_negatives(spark: SparkSession, d: str) -> DataFrame:
+    p, templates, known, m = _negative_inputs(spark, d)
+    return B.presumed_negatives(p, templates, known, None, "same_book_pair_unlinked", 5, tokens=m)
+
+
+@register("SELECT unnest(['length_matched_random_unlinked', 'same_book_unlinked', 'same_book_pair_unlinked', 'same_broad_genre_unlinked', 'nearby_context_unlinked']) AS strategy, 0::BIGINT AS n_sharing, 0::BIGINT AS n_linked, 0::BIGINT AS n_repeated")
+def negative_violations(spark: SparkSession, d: str) -> DataFrame:
+    """How many negatives of each strategy share a token, are known links or repeat: none."""
+    p, templates, known, m = (materialize(x) for x in _negative_inputs(spark, d))
+    out = None
+    for s in B.NEGATIVE_STRATEGIES:
+        n = materialize(B.presumed_negatives(p, templates, known, None, s, 5, tokens=m))
+        shared = n.join(m.select(F.col("pid").alias("a"), "feature"), "a").join(m.select(F.col("pid").alias("b"), "feature"), ["b", "feature"]).select("a", "b").distinct()
+        one = shared.agg(F.count("*").alias("n_sharing")).crossJoin(n.join(known, ["a", "b"], "left_semi").agg(F.count("*").alias("n_linked")))
+        one = one.crossJoin(n.agg((F.count("*") - F.count_distinct("a", "b")).alias("n_repeated"))).select(F.lit(s).alias("strategy"), "n_sharing", "n_linked", "n_repeated")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register()
 def matched_negative(spark: SparkSession, d: str) -> DataFrame:
     """For every passage that is a known link's first end the passage of its corpus that is nearest in length."""
@@ -207,7 +227,7 @@ def rare_rule(spark: SparkSession, d: str) -> DataFrame:
     o = L.occ(spark, d)
     post = o.groupBy("pid", "feature").agg(F.count("*").alias("tf"))
     stats = post.groupBy("feature").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    pairs = L.proposed_pairs(spark, d, L.SETTINGS.rerank_k)
+    pairs = L.proposed_pairs(spark, d, L.SETTINGS.rerank_k, 2)
     ev = D.shared_evidence(o, pairs).join(stats, "feature").crossJoin(F.broadcast(L.n_docs(post)))
     sig = F.concat_ws(",", F.transform("pos_a", lambda x: F.lpad(x.cast("string"), 9, "0")), F.lit(";"), F.transform("pos_b", lambda x: F.lpad(x.cast("string"), 9, "0")))
     row = F.struct(F.lit("lemma").alias("family"), F.col("feature").alias("value"), F.sha2("feature", 256).alias("feature_id"), sig.alias("positions"), (F.col("cf") <= 3).alias("is_rare"), (F.col("df") >= F.col("n") * L.SETTINGS.high_df_ratio).alias("is_high"))
@@ -267,7 +287,7 @@ def _annotated(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents with stand-in annotations of their whole texts, of any length."""
     # words are joined and annotated afterwards, as annotations are several times their size
     s = L.seqs(spark, d)
-    pairs = L.proposed_pairs(spark, d, 5)
+    pairs = L.proposed_pairs(spark, d, 5, 1)
     used = pairs.select(F.explode(F.array("a", "b")).alias("pid")).distinct()
     s = materialize(s.join(used, "pid", "left_semi"))
     side = lambda n: s.select(F.col("pid").alias(n), F.col("seq").alias(f"seq_{n}"))

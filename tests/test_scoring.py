@@ -76,3 +76,31 @@ def test_rerank(spark, texts):
     assert sum(x.detector == "alignment" for x in r) == 4 and not any(x.detector == "phrase" for x in r)
     assert [x.t for x in best.orderBy("rank").collect()][0] == 41 and best.count() == 3
     assert {x.families for x in best.collect()} <= set(range(1, 7))
+
+
+def test_null_experiment(spark, texts):
+    from passagelink.operators import nulls as U
+
+    p = _post(spark, texts)
+    n = p.agg(F.count_distinct("pid").alias("n"))
+    stats = S.profiles(p, n).groupBy("feature").agg(F.first("idf").alias("idf"), F.first("cf").alias("cf"))
+    occ = spark.createDataFrame([(r, k, w) for r in (1, 2) for k, t in texts.items() for w in (t if r == 1 else t[::2])], "replicate int, pid int, feature string")
+    pairs = spark.createDataFrame([(0, 41), (3, 7), (5, 42)], "a int, b int")
+    got = {(r.replicate, r.a, r.b): r.asDict() for r in U.replicate_scores(occ, pairs, stats).collect()}
+    assert len(got) == 6
+    for a, b in ((0, 41), (3, 7), (5, 42)):
+        want = _plain(texts, a, b)
+        for k in U.SCORED:
+            assert math.isclose(got[1, a, b][k], want[k], abs_tol=1e-9), k
+    # thresholds by hand: 4 observed pairs, two families of two replicates
+    obs = spark.createDataFrame([(k, k + 10, "d", x) for k, x in enumerate((0.1, 0.5, 0.5, 0.9))], "a int, b int, detector string, score double")
+    nulls = spark.createDataFrame([(f, r, "d", x) for f in "xy" for r in (1, 2) for x in (0.1, 0.2, 0.3, 0.5 if f == "y" and r == 2 else 0.0)], "family string, replicate int, detector string, score double")
+    grid = spark.createDataFrame([(0.1,), (0.5,), (0.95,)], "t double")
+    counts = U.replicate_counts(nulls, grid)
+    assert counts.count() == 12 and {r.k for r in counts.filter("t = 0.95").collect()} == {0}
+    c = {(r.family, r.t): r for r in U.calibrate_grid(obs, counts, grid, 0.2).collect()}
+    assert (c["x", 0.5].mean_null, c["x", 0.5].fdr, c["y", 0.5].mean_null, c["y", 0.5].observed) == (0.0, 0.0, 0.5, 3)
+    assert c["y", 0.5].fdr == pytest.approx(1 / 6) and c["y", 0.95].fdr is None and c["x", 0.1].tail == pytest.approx(1 / 3)
+    assert [k for k, r in sorted(c.items()) if r.selected] == [("x", 0.5), ("y", 0.5)]
+    ps = {(r.a, r.score): r.p for r in U.null_p_values(obs, nulls).collect()}
+    assert ps == {(0, 0.1): pytest.approx(14 / 17), (1, 0.5): pytest.approx(2 / 17), (2, 0.5): pytest.approx(2 / 17), (3, 0.9): pytest.approx(1 / 17)}
