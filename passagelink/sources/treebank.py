@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from passagelink.functions.text import hebrew_forms, squeeze
 
 XML_ID = "{http://www.w3.org/XML/1998/namespace}id"
-#: Categories that name a syntactic role, not a phrase (fixed values).
-ROLES = frozenset(["S", "V", "O", "O2", "IO", "P", "ADV", "VC", "PP"])
+#: Categories that name a syntactic role, not a phrase, in either corpus (fixed values).
+ROLES = {
+    "hebrew": frozenset(["S", "V", "O", "O2", "IO", "P", "ADV", "VC", "PP"]),
+    "greek": frozenset(["S", "V", "O", "O2", "IO", "P", "ADV", "VC"]),
+}
 TOKEN_SCHEMA = (
     "tag string, source_file string, sentence_id string, source_record_id string, word_ref string, book string, chapter int, verse int, word int, sub int, surface string, lang string, attributes string, "
     "clause_id string, phrase_id string, role string, alternate_trees int, seq int, code string, message string"
@@ -33,16 +36,16 @@ def _name(e: ET.Element) -> str:
     return e.tag.rpartition("}")[2]
 
 
-def _context(path: list[dict], source_file: str) -> tuple[str | None, str | None, str | None]:
+def _context(path: list[dict], source_file: str, roles: frozenset[str]) -> tuple[str | None, str | None, str | None]:
     """Nearest clause, nearest phrase and nearest role above a token."""
     clause = phrase = role = None
     for a in reversed(path):
         cat, node = a.get("Cat", ""), (a.get("nodeId") or a.get("morphId") or "").strip()
         if cat == "CL":
             clause = clause or (f"{source_file}#{node}" if node else None)
-        elif node and cat not in ROLES:
+        elif node and cat not in roles:
             phrase = phrase or f"{source_file}#{node}"
-        if cat in ROLES:
+        if cat in roles:
             role = role or cat
     return clause, phrase, role
 
@@ -105,7 +108,7 @@ def _scan(content: bytes, source_file: str, flavour: str) -> list[dict]:
             sub = sub + 1 if ref == before else 1
             before = ref
             seq += 1
-            clause, phrase, role = _context(path, source_file)
+            clause, phrase, role = _context(path, source_file, ROLES["hebrew" if hebrew else "greek"])
             near = {k: next((p[k] for p in reversed(path) if p.get(k)), None) for k in ("lemma", "SenseNumber", "Ref")}
             attributes = {k.rpartition("}")[2]: v for k, v in e.attrib.items()} | {k: v for k, v in near.items() if v and k not in e.attrib}
             rows.append({
