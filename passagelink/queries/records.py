@@ -244,7 +244,9 @@ def pair_evidence(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "candidate_pairs").select("candidate_pair_id").filter("candidate_pair_id is not null").distinct()
     e = table(spark, d, "evidence_identity").filter("candidate_pair_id is not null").select("candidate_pair_id", "evidence_id", "detector_id")
     rows, _ = files.pair_projection(p, e, "candidate_pair_id")
-    return rows.select("candidate_pair_id", F.size("evidence").cast("bigint").alias("n_evidence"), F.array_join(F.array_sort(F.array_distinct("evidence.detector_id")), ",").alias("detectors"))
+    names = F.array_sort(F.array_distinct(F.array_compact("evidence.detector_id")))
+    # a pair whose evidence names no detector has null, not an empty list of them
+    return rows.select("candidate_pair_id", F.size("evidence").cast("bigint").alias("n_evidence"), F.when(F.size(names) > 0, F.array_join(names, ",")).alias("detectors"))
 
 
 @register("SELECT candidate_pair_id, count(*) AS n_details FROM evidence_identity WHERE candidate_pair_id IN (SELECT source_candidate_id FROM selected_m7_pairs) GROUP BY candidate_pair_id")
