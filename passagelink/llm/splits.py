@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from math import gcd
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagelink.operators.graph import components
 from passagelink.operators.references import loose_key
+from passagelink.operators.spread import numbered
 from passagelink.session import materialize
 
 __all__ = ["assign_splits", "components", "group_key", "stored_split", "torn"]
@@ -15,10 +18,8 @@ __all__ = ["assign_splits", "components", "group_key", "stored_split", "torn"]
 PLACEHOLDERS = ("unknown", "n/a", "none", "-")
 #: Other names of stored splits (fixed values).
 SPLIT_NAMES = {"dev": "development", "validation": "development"}
-#: Significant bits to which the counts of a label vector are rounded down; fewer where more kinds of vectors than KINDS come out.
-BITS, KINDS = 3, 100_000
-#: Slices by which the components of one kind are numbered.
-SLICES = 1024
+#: Not read any more: components were rounded to fewer kinds above it. Tests set it to show that nothing depends on it.
+KINDS = 100_000
 
 
 def group_key(c: Column) -> Column:
@@ -78,10 +79,10 @@ def assign_splits(rows: DataFrame, comps: DataFrame, ident: str, label: str, sha
     Grouped iterative stratification: components' label vectors are summed first. The label of which least is
     outstanding comes first; the components that hold it are placed, those that hold most of it first, each into the
     split that needs most of it (of splits in equal need the one that needs most rows), and so on with the next label.
-    Components whose label vectors agree to BITS significant bits (counts up to 8 agree exactly) are one kind and are
-    placed in one step, as if one after another; the driver holds kinds, never components, at most KINDS of them: where
-    more come out, counts are rounded to fewer bits. Which component of a kind goes where is decided by the order of
-    hashes, numbered over SLICES slices, so that no kind is gathered.
+    Components with equally many rows of the label are placed in one step, as if one after another. Among them those of
+    one label vector stand side by side, in the order of hashes, and the splits alternate along that order, so that all
+    other labels are spread too. Counts are never rounded. The driver holds the distinct counts of one label at a time,
+    whose sum is no more than the rows: of N rows at most the square root of 2 N. A label is one pass.
     """
     spark = rows.sparkSession
     total = sum(shares.values())
@@ -89,43 +90,37 @@ def assign_splits(rows: DataFrame, comps: DataFrame, ident: str, label: str, sha
     splits = list(shares)
     per = label_vectors(rows.withColumn(label, F.coalesce(F.col(label).cast("string"), F.lit(""))), comps, ident, label)
     per = materialize(per.groupBy("component_id").agg(F.sort_array(F.collect_list(F.struct("label", "n"))).alias("vector")))  # as many entries as labels
-    for bits in range(BITS, -1, -1):
-        # n without its lower binary digits
-        low = F.transform("vector", lambda e: F.struct(e["label"], F.expr("0") if bits == 0 else (e["n"] - e["n"] % F.pow(F.lit(2.0), F.greatest(F.lit(0), F.length(F.bin(e["n"])) - bits)).cast("bigint"))))
-        kinds = per.withColumn("kind", F.xxhash64(F.to_json(low)))
-        if kinds.select("kind").distinct().limit(KINDS + 1).count() <= KINDS:
-            break
-    kinds = kinds.select("component_id", "kind", F.xxhash64("component_id").alias("h"), "vector").withColumn("slice", F.pmod("h", F.lit(SLICES)))
-    sums = kinds.select("kind", F.explode("vector").alias("e")).groupBy("kind", "e.label").agg(F.sum("e.n").alias("n")).groupBy("kind").agg(F.collect_list(F.struct("label", "n")).alias("sums"))
-    many = {r.kind: r.n for r in kinds.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # at most KINDS rows, as are those below
-    held = {r.kind: {e.label: e.n / many[r.kind] for e in r["sums"]} for r in sums.collect()}
-    left: dict[str, float] = {}
-    for kind, v in held.items():
-        for k, n in v.items():
-            left[k] = left.get(k, 0.0) + n * many[kind]
+    counted = lambda df, *by: df.select(*by, F.explode("vector").alias("e")).groupBy(*by, "e.label").agg(F.sum("e.n").alias("n")).collect()  # noqa: E731, a row a label and split
+    left = {r.label: float(r.n) for r in counted(per)}
     need = {s: {k: x * n for k, n in left.items()} for s, x in shares.items()}
-    by_label = {k: sorted((kind for kind, v in held.items() if k in v), key=lambda kind: (-held[kind][k], kind)) for k in left}
-    cuts, todo, labels = [], set(held), set(left)
-    while todo:
-        k = min(labels, key=lambda k: (left[k], k))
-        labels.discard(k)
-        for kind in by_label[k]:
-            if kind not in todo:
-                continue
-            todo.discard(kind)
-            order = sorted(splits, key=lambda s: (-sum(need[s].values()), s))
-            at = 0
-            for s, n in _deal({s: need[s][k] for s in splits}, held[kind][k], many[kind], order).items():
+    done: list[str] = []
+    chosen = spark.createDataFrame([], "component_id string, split string")
+    while len(done) < len(left):
+        k = min((k for k in left if k not in done), key=lambda k: (left[k], k))
+        held = F.aggregate("vector", F.lit(0).cast("bigint"), lambda a, e: a + F.when(e["label"] == k, e["n"]).otherwise(0))
+        open_ = per.filter(~F.exists("vector", lambda e: e["label"].isin(*done))) if done else per
+        open_ = open_.withColumn("held", held).filter("held > 0")
+        many = {r.held: r.m for r in open_.groupBy("held").agg(F.count("*").alias("m")).collect()}
+        done.append(k)
+        cuts, start = [], 0
+        for each in sorted(many, reverse=True):
+            m, at = many[each], 0
+            step = next(x for x in range(max(1, round(m * 0.6180339887)), m + 2) if gcd(x, m) == 1)  # place * step runs over all of m evenly
+            for s, n in _deal({s: need[s][k] for s in splits}, each, m, sorted(splits, key=lambda s: (-sum(need[s].values()), s))).items():
                 if n:
-                    cuts.append((kind, at, at + n, s))
+                    cuts.append((each, start, m, step, at, at + n, s))
                 at += n
-                for j, x in held[kind].items():
-                    need[s][j] -= n * x
-                    left[j] -= n * x
-    bounds = spark.createDataFrame(cuts, "kind bigint, lo bigint, hi bigint, split string")
-    sizes = kinds.groupBy("kind", "slice").agg(F.count("*").alias("n"))
-    base = sizes.select("kind", "slice", (F.sum("n").over(Window.partitionBy("kind").orderBy("slice")) - F.col("n")).alias("base"))  # at most SLICES rows of a kind
-    place = F.row_number().over(Window.partitionBy("kind", "slice").orderBy("h", "component_id"))
-    placed = kinds.select("component_id", "kind", "slice", "h").withColumn("place", place - 1).join(base, ["kind", "slice"]).withColumn("place", F.col("place") + F.col("base"))
-    chosen = placed.join(F.broadcast(bounds), "kind").filter("place >= lo and place < hi").select("component_id", "split")
+                need[s][k] -= n * each
+            start += m
+        if not cuts:
+            continue
+        bounds = spark.createDataFrame(cuts, "held bigint, start bigint, m bigint, step bigint, lo bigint, hi bigint, split string")
+        line = numbered(open_.withColumn("kind", F.xxhash64(F.to_json("vector"))), F.desc("held"), "kind", F.xxhash64("component_id"), "component_id")
+        turn = F.expr("(position - start) * step % m")
+        placed = materialize(line.join(F.broadcast(bounds), "held").filter((turn >= F.col("lo")) & (turn < F.col("hi"))).select("component_id", "split", "vector"))
+        for r in counted(placed, "split"):
+            left[r.label] -= r.n
+            if r.label != k:
+                need[r.split][r.label] -= r.n
+        chosen = chosen.unionByName(placed.select(F.col("component_id").cast("string").alias("component_id"), "split"))
     return comps.join(chosen, "component_id").select(ident, "component_id", "split")
