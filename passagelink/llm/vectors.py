@@ -1,4 +1,4 @@
-"""Most similar vectors by shifted space-filling curves."""
+"""Most similar vectors by cells around sampled vectors, several to a vector; large cells along space-filling curves."""
 
 from __future__ import annotations
 
@@ -10,20 +10,21 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagelink.operators.spread import numbered
-from passagelink.session import materialize, shuffle_width
+from passagelink.session import materialize, shuffle_width, tidy
 
-#: Curves, projected dimensions, bits a dimension, and rows on each side of a vector along a curve it is compared with.
-CURVES, DIMS, BITS, WINDOW = 4, 8, 6, 4096
+#: Curves, projected dimensions, bits a dimension, and rows on each side of a vector along the curve of its cell it is compared with.
+CURVES, DIMS, BITS, WINDOW = 4, 8, 6, 16_384
 SEED = 20240517
-#: Rows of a tile of a curve, and tiles at most, whose borders every task holds (20 bytes each); beyond, tiles grow.
-TILE, TILES = 16_384, 65_536
+#: Vectors for each center of a cell, centers at most, which every task holds (two bytes a number), and cells of a vector.
+TILE, TILES, EACH = 1_536, 32_768, 5
+#: Up to so many times TILE vectors are one cell. Steps of a coordinate where cells are chosen: sums of products stay below 2**24, so that they are exact.
+ONE, STEPS = 4, 2_048
 #: Rows of a block that are compared at once.
 STEP = 256
 #: How far a cosine of vectors rounded to 16 bits may be off; rounding spreads a tenth of that.
 SLACK = 5e-5
-#: Columns of the rows of a batch, and their Arrow type.
-_LONG, _FLOAT = pa.int64(), pa.float32()
+#: Arrow type of a cosine.
+_FLOAT = pa.float32()
 
 
 def usable_vectors(df: DataFrame, ident: str, vector: str, time: str, size: int) -> DataFrame:
@@ -125,14 +126,33 @@ def _dot(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
 
 
-def _near_rows(u: np.ndarray, begin: int, end: int, own: int, k: int, least: float, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows near the rows [begin, end) of a tile, and their cosines: of each row the k best in its window and all that may tie.
+def _steps(u: np.ndarray) -> np.ndarray:
+    """Unit vectors in whole steps, whose products are exact in single precision in any order of summation."""
+    return np.rint(u * STEPS).astype(np.float32)
 
-    Rows from ``own`` on are the next tile's; they look back at this tile's rows only.
-    """
-    lo, hi = max(0, begin - window), min(len(u), end + window) if begin < own else own
+
+def _cells(x: np.ndarray, centers: np.ndarray, each: int) -> np.ndarray:
+    """The ``each`` nearest centers of every row, of equally near ones the first; both from ``_steps()``."""
+    out = [np.empty((0, each), np.int64)]
+    for lo in range(0, len(x), STEP):
+        near = x[lo : lo + STEP] @ centers.T
+        edge = np.full(len(near), -np.inf, np.float32)
+        parts = max(each, 64)
+        if wide := near.shape[1] // parts:
+            top = near[:, : wide * parts].reshape(len(near), parts, wide).max(2)
+            edge = np.partition(top, parts - each, axis=1)[:, parts - each]
+        r, c = np.nonzero(near >= edge[:, None])
+        order = np.lexsort((c, -near[r, c], r))
+        r, c = r[order], c[order]
+        out.append(c[np.arange(len(r)) - np.searchsorted(r, r) < each].reshape(-1, each))
+    return np.concatenate(out)
+
+
+def _near_rows(u: np.ndarray, begin: int, end: int, k: int, least: float, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows near the rows [begin, end) of a cell, and their cosines: of each row the k best in its window and all that may tie."""
+    lo, hi = max(0, begin - window), min(len(u), end + window)
     sim = u[begin:end] @ u[lo:hi].T
-    both = np.arange(max(begin, lo), min(end, hi))
+    both = np.arange(begin, end)
     sim[both - begin, both - lo] = -2
     edge = np.full(end - begin, max(least, -1.0) - SLACK, np.float32)
     # the k-th of the highest values of k or more parts of a row is no more than the k-th of the row
@@ -153,7 +173,7 @@ def _near_rows(u: np.ndarray, begin: int, end: int, own: int, k: int, least: flo
 
 def nearest(
     rows: DataFrame, k: int, size: int, least: float = -1.0, queries: DataFrame | None = None, exact: bool = True,
-    curves: int = CURVES, dims: int = DIMS, bits: int = BITS, window: int = WINDOW, tile: int = TILE,
+    curves: int = CURVES, dims: int = DIMS, bits: int = BITS, window: int = WINDOW, tile: int = TILE, each: int = EACH,
 ) -> DataFrame:
     """For every vector of ``rows(id, t, v)`` the k most similar others by cosine, of those with at least ``least``.
 
@@ -163,13 +183,14 @@ def nearest(
     zero; null identifiers and all other vectors are left out. A collection of one vector or none gives no rows.
 
     Directions that several vectors share are one class, equal to 9 decimals in every coordinate: its k + 1 smallest
-    members stand for it, so any number of copies costs as much as one vector. Each class is projected, shifted and
-    placed on several Hilbert curves; ties along a curve are in order of a hash. A curve is cut into tiles of ``tile``
-    rows, a tile gets the next one's first ``window`` rows beside its own, and within it every vector meets the
-    ``window`` rows on both sides. So the result does not depend on how Spark partitions the rows; what is lost is what
-    no curve brings near.
-
-    Vectors move once to their classes and once to each of their tiles, rounded to 16 bits. The tiles' results are
+    members stand for it, so any number of copies costs as much as one vector. One class in ``tile``, by hash, is the
+    center of a cell, so cells are small where vectors are dense, and their number grows with the table. Each class
+    goes to the cells of its ``each`` nearest centers, and in a cell everything meets everything; only in a cell of more
+    than ``window`` rows a vector meets the ``window`` rows on both sides along a Hilbert curve through projections. The
+    choice of cells is exact, so the result does not depend on how Spark partitions the rows; what is lost is what shares
+    no cell.
+
+    Vectors move once to their classes and once to each of their cells, rounded to 16 bits. The cells' results are
     merged and reranked: where rounding leaves the order or the threshold open, the vectors themselves decide, in double
     precision, rounded to 9 decimals. ``exact`` computes every cosine that way; otherwise those that rounding leaves no
     doubt about stay as they are, within 5e-5, which changes no pair and no rank.
@@ -177,43 +198,35 @@ def nearest(
     spark = rows.sparkSession
     mats, shifts = _frames(size, curves, dims)
     tie = 63 - dims * bits  # bits left for the hash that orders ties
-    names = [f"k{c}" for c in range(curves)]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b, raw = _usable(b, size)
-            u = _units(raw)
-            cls = _row_hash(np.rint(u * 1e9))
-            keys = []
-            for c in range(curves):
-                # coordinates of projected unit vectors spread as 1/sqrt(size); three deviations to each side fill the cells
-                z = (u @ mats[c] * np.sqrt(size) + 3 + shifts[c]) / 7 * (1 << bits)
-                keys.append((hilbert_keys(np.clip(z.astype(np.int64), 0, (1 << bits) - 1), bits) << tie) | (cls & ((1 << tie) - 1)))
-            cols = [b.column("id"), b.column("t"), pa.array(_row_hash(raw.view(np.int32))), pa.array(cls), *map(pa.array, keys)]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "t", "vh", "cls", *names])
+            cols = [b.column("id"), b.column("t"), pa.array(_row_hash(raw.view(np.int32))), pa.array(_row_hash(np.rint(_units(raw) * 1e9)))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "t", "vh", "cls"])
 
     rows = rows.select(F.col("id").cast("string").alias("id"), "t", F.col("v").cast("array<float>").alias("v"))
     kind = rows.schema["t"].dataType.simpleString()
-    told = rows.mapInArrow(describe, f"id string, t {kind}, vh bigint, cls bigint, " + ", ".join(f"{n} bigint" for n in names))
+    told = rows.mapInArrow(describe, f"id string, t {kind}, vh bigint, cls bigint")
     # nulls are smallest
-    last = told.groupBy("id").agg(F.max(F.struct("t", "vh", "cls", *names)).alias("m")).select("id", "m.vh", "m.cls", *[f"m.{n}" for n in names])
-    members = materialize(last)
+    members = materialize(told.groupBy("id").agg(F.max(F.struct("t", "vh", "cls")).alias("m")).select("id", "m.vh", "m.cls"))
     few = materialize(members.withColumn("m", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).filter(F.col("m") <= k + 1))
-    reps = few.filter("m = 1").select("id", "vh", "cls", *names)
+    reps = few.filter("m = 1").select("id", "vh", "cls")
+    tidy(spark)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b, raw = _usable(b, size)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(_row_hash(raw.view(np.int32))), b.column("v")], ["id", "vh", "v"])
 
-    # borders of the tiles: every curve holds each class once, so a class's position on its curve follows from its position among all
-    lined = reps.select(F.posexplode(F.array(*names)).alias("curve", "key"))
     n = reps.count()
-    long = max(tile, window, -(-n * curves // TILES))
-    at = F.col("position") - F.col("curve") * n
-    marks = numbered(lined, "curve", "key").select("curve", "key", F.floor(at / long).alias("tile"), (at % long).alias("in")).filter(F.col("in").isin(0, window - 1))
-    marks = marks.collect()  # two rows a tile, at most 2 * TILES + 2 * curves
-    per = max(1, -(-n // long))
-    starts = [np.array([r.key for r in sorted((r for r in marks if r.curve == c and r["in"] == 0), key=lambda r: r.tile)], np.int64) for c in range(curves)]
-    halos = [np.full(per, 2**63 - 1, np.int64) for _ in range(curves)]
-    for r in marks:
-        if r["in"] == window - 1:
-            halos[r.curve][r.tile] = r.key
+    n_cells = 1 if n <= ONE * tile else min(-(-n // tile), TILES)
+    of_each = min(each, n_cells)
+    centers = np.zeros((1, size), np.int16)
+    if n_cells > 1:
+        pick = F.broadcast(reps.withColumn("o", F.xxhash64("cls", F.lit(SEED))).orderBy("o", "cls").limit(n_cells))
+        got = rows.join(pick.select("id"), "id", "left_semi").mapInArrow(whole, "id string, vh bigint, v array<float>").join(pick, ["id", "vh"]).select("o", "cls", "v").collect()  # at most TILES, and copies of the same rows
+        centers = _steps(_units(np.array([r.v for r in sorted({r.cls: r for r in got}.values(), key=lambda r: (r.o, r.cls))], np.float32))).astype(np.int16)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,51 +237,57 @@ def nearest(
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(_row_hash(raw.view(np.int32))), _blobs(small)], ["id", "vh", "v"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        middle = centers.astype(np.float32)
         for b in batches:
-            for c in range(curves):
-                key = b.column(names[c]).to_numpy(zero_copy_only=False)
-                t = np.maximum(np.searchsorted(starts[c], key, "right") - 1, 0)
-                again = np.flatnonzero((t > 0) & (key <= halos[c][t])) if per else np.empty(0, np.int64)
-                for pick, to, next_one in ((np.arange(len(key)), t, False), (again, t[again] - 1, True)):
-                    cols = [pa.array(c * per + to, _LONG), pa.array(key[pick]), b.column("cls").take(pa.array(pick)), pa.array(np.full(len(pick), next_one)), b.column("v").take(pa.array(pick))]
-                    yield pa.RecordBatch.from_arrays(cols, ["tile", "key", "cls", "next", "v"])
-
-    placed = rows.mapInArrow(hashed, "id string, vh bigint, v binary").join(reps.hint("shuffle_hash"), ["id", "vh"]).select("cls", *names, "v")
-    placed = placed.mapInArrow(route, "tile bigint, key bigint, cls bigint, next boolean, v binary")
-    width = min(max(per * curves, 1), 16 * shuffle_width(spark))
-    tiles = placed.repartitionById(width, F.pmod("tile", F.lit(width)).cast("int")).sortWithinPartitions("tile", "next", "key", "cls")
+            small, cls = _array(b.column("v"), np.int16, size + 2), b.column("cls").to_numpy(zero_copy_only=False)
+            u = small[:, 2:].astype(np.float64) * (small[:, :2].copy().view(np.float32).astype(np.float64) / 32767)
+            # coordinates of projected unit vectors spread as 1/sqrt(size); three deviations to each side fill the curve's cubes
+            cubes = [np.clip(((u @ mats[c] * np.sqrt(size) + 3 + shifts[c]) / 7 * (1 << bits)).astype(np.int64), 0, (1 << bits) - 1) for c in range(curves)]
+            keys = np.stack([(hilbert_keys(x, bits) << tie) | (cls & ((1 << tie) - 1)) for x in cubes])
+            to = _cells(_steps(u), middle, of_each)
+            for c in range(of_each):
+                cols = [pa.array(to[:, c].astype(np.int32)), pa.array(keys[to[:, c] % curves, np.arange(len(cls))]), b.column("cls"), b.column("v")]
+                yield pa.RecordBatch.from_arrays(cols, ["tile", "key", "cls", "v"])
+
+    placed = rows.mapInArrow(hashed, "id string, vh bigint, v binary").join(reps.hint("shuffle_hash"), ["id", "vh"]).select("cls", "v")
+    placed = placed.mapInArrow(route, "tile int, key bigint, cls bigint, v binary")
+    width = min(n_cells, 16 * shuffle_width(spark))
+    tiles = placed.repartitionById(width, F.pmod("tile", F.lit(width)).cast("int")).sortWithinPartitions("tile", "key", "cls")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, cls = np.empty((0, size), np.float32), np.empty(0, np.int64)
-        tile_no, own, begin = -1, 2**62, 0  # own: where the next tile's rows begin
-
-        def near(to: int) -> Iterator[pa.RecordBatch]:
-            nonlocal begin
+        tile_no, begin = -1, 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the cell that are not in u yet
+
+        def near(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal begin, u, cls, held
+            if held:
+                u, cls, held = np.concatenate([u, *(x for x, _ in held)]), np.concatenate([cls, *(x for _, x in held)]), []
+            to = len(u) if last else begin + max(0, (len(u) - window - begin) // STEP * STEP)
             while begin < to:
-                stop = min(begin + STEP, to, own if begin < own else to)
-                q, t, w = _near_rows(u, begin, stop, min(own, len(u)), k, least, window)
+                stop = min(begin + STEP, to)
+                q, t, w = _near_rows(u, begin, stop, k, least, window)
                 yield pa.RecordBatch.from_arrays([pa.array(cls[q]), pa.array(cls[t]), pa.array(w, _FLOAT)], ["a", "b", "w"])
                 begin = stop
+            if begin > window + (1 << 16):
+                drop = begin - window
+                u, cls, begin = u[drop:], cls[drop:], window
 
         for b in batches:
-            no, next_one = b.column("tile").to_numpy(zero_copy_only=False), b.column("next").to_numpy(zero_copy_only=False)
-            ids, small = b.column("cls").to_numpy(zero_copy_only=False), _array(b.column("v"), np.int16, size + 2)
+            no, ids, small = b.column("tile").to_numpy(zero_copy_only=False), b.column("cls").to_numpy(zero_copy_only=False), _array(b.column("v"), np.int16, size + 2)
             vec = small[:, 2:].astype(np.float32) * (small[:, :2].copy().view(np.float32) / 32767)
-            # a row that is sent twice stands beside its copy
             for lo, hi in zip(*(lambda cuts: (cuts[:-1], cuts[1:]))(np.flatnonzero(np.concatenate([[True], no[1:] != no[:-1], [True]])))):
                 if no[lo] != tile_no:
-                    yield from near(len(u))
-                    u, cls, tile_no, own, begin = u[:0], cls[:0], no[lo], 2**62, 0
-                fresh = ids[lo:hi] != np.concatenate([cls[-1:] if len(cls) else ids[lo : lo + 1] ^ 1, ids[lo : hi - 1]])
-                if own == 2**62 and next_one[lo:hi].any():
-                    own = len(u) + int(fresh[: int(np.argmax(next_one[lo:hi]))].sum())
-                u, cls = np.concatenate([u, vec[lo:hi][fresh]]), np.concatenate([cls, ids[lo:hi][fresh]])
-                ready = begin + max(0, (len(u) - window - begin) // STEP * STEP)
-                yield from near(min(ready, own))
-                if begin > window + (1 << 16):
-                    drop = begin - window
-                    u, cls, own, begin = u[drop:], cls[drop:], own - drop if own < 2**62 else own, window
-        yield from near(len(u))
+                    yield from near(True)
+                    u, cls, tile_no, begin = u[:0], cls[:0], no[lo], 0
+                # a row that is sent twice stands beside its copy
+                before = held[-1][1][-1:] if held else cls[-1:]
+                fresh = ids[lo:hi] != np.concatenate([before if len(before) else ids[lo : lo + 1] ^ 1, ids[lo : hi - 1]])
+                if fresh.any():
+                    held.append((vec[lo:hi][fresh], ids[lo:hi][fresh]))
+                if len(u) + sum(len(x) for _, x in held) - begin >= window + (1 << 13):
+                    yield from near(False)
+        yield from near(True)
 
     near = tiles.mapInArrow(meet, "a bigint, b bigint, w float").repartition("a").groupBy("a", "b").agg(F.max("w").cast("double").alias("w"))
     near = near.withColumn("r", F.rank().over(Window.partitionBy("a").orderBy(F.desc("w")))).withColumn("kth", F.min(F.when(F.col("r") <= k, F.col("w"))).over(Window.partitionBy("a")))
@@ -277,10 +296,8 @@ def nearest(
     gap = F.least(F.coalesce(F.lag("w").over(beside) - F.col("w"), F.lit(9.0)), F.coalesce(F.col("w") - F.lead("w").over(beside), F.lit(9.0)))
     near = materialize(near.select("a", "b", "w", ((F.lit(exact)) | (gap <= 2 * SLACK) | (F.abs(F.col("w") - least) <= SLACK)).alias("open")))
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            b, raw = _usable(b, size)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(_row_hash(raw.view(np.int32))), b.column("v")], ["id", "vh", "v"])
+    del told, placed, tiles
+    tidy(spark)
 
     # the vectors of pairs that are still open; their classes are written, so that Spark knows how many they are before it joins
     doubt = near.filter("open").select("a", "b")
