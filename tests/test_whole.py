@@ -99,3 +99,14 @@ def test_hints_reject_nothing_that_the_patterns_accept():
 
     for text, kind in (("signed Anna Bell", "person"), ("and Rev Thomas Hale", "person"), ("at 12 Mill St London", "address"), ("at 12 Mill\nRd in town", "address"), ("at 12 Mill\nDrive in town", "address"), ("at 12 Mill\tRd in town", "address"), ("i  met\tAnna Bell", "person"), ("mr\nThomas Hale", "person")):
         assert kind in [s.kind for s in pii.find(text)], text
+
+
+def test_null_experiment_asks_with_every_document(spark, folder):
+    from passagelink.queries import experiment as E
+
+    # no identifier is divisible by 50; two pairs share words that no other text has
+    docs = [(i, words(*range(100 * i, 100 * i + 6), *range(9000 + 10 * (i // 2), 9004 + 10 * (i // 2))), "en", "s") for i in range(2, 12)]
+    d = folder(documents=(docs, DOCS))
+    want = {(i, i + 1) for i in range(2, 12, 2)}
+    assert {(r.a, r.b) for r in E.proposed(spark, d).collect()} == want
+    assert {(r.a, r.b) for r in E.null_q_values(spark, d).collect()} == want
