@@ -110,3 +110,42 @@ def test_null_experiment_asks_with_every_document(spark, folder):
     want = {(i, i + 1) for i in range(2, 12, 2)}
     assert {(r.a, r.b) for r in E.proposed(spark, d).collect()} == want
     assert {(r.a, r.b) for r in E.null_q_values(spark, d).collect()} == want
+
+
+def test_null_experiment_scores_all_proposed_pairs(spark, folder):
+    from passagelink.queries import experiment as E
+
+    # 60 texts of one family of words each: all pairs within 2 families of 30 are proposed, more than 500
+    docs = [(i, words(*range(100 * (i % 2), 100 * (i % 2) + 10), 5000 + i), "en", "s") for i in range(60)]
+    docs += [(100 + i, words(7000 + i), "en", "s") for i in range(80)]  # a word of less than a quarter of the documents
+    d = folder(documents=(docs, DOCS))
+    pairs = E.proposed(spark, d).count()
+    assert pairs > 500 and E.null_q_values(spark, d).count() == 4 * pairs
+    k = E.null_replicate_counts(spark, d).collect()
+    assert len(k) == 2 * E.REPLICATES * 4 * len(E.GRID) and max(r.k for r in k) > 500
+
+
+def test_bag_scores_are_those_of_every_feature(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from passagelink.operators import features as X
+    from passagelink.operators import nulls as U
+
+    rng = random.Random(5)
+    rows = [("g", "b", p, k, rng.choice("abcdefghijklmnop") + (str(p) if rng.random() < 0.1 else "")) for p in range(30) for k in range(rng.randrange(1, 20))]
+    occ = spark.createDataFrame(rows, "genre string, book string, pid int, pos int, feature string")
+    freq = occ.groupBy("feature").agg(F.count_distinct("pid").alias("df"), F.count("*").alias("cf"))
+    stats = freq.select("feature", X.smooth_idf(F.col("df"), F.lit(30)).alias("idf"), "cf")
+    pairs = spark.createDataFrame([(a, b) for a in range(32) for b in range(a + 1, 32)], "a int, b int")  # two have no words
+    reps = spark.createDataFrame([(1,), (2,)], "replicate int")
+    lined = U.coded(occ, freq)
+    want = {(r.replicate, r.a, r.b, r.detector): r.score for r in U.long_scores(U.replicate_scores(U.reassign_within_book(occ, 9, reps), pairs, stats, replicates=reps), "replicate").collect()}
+    for block in (5, 1000):
+        got = U.long_scores(U.bag_scores(U.reassign_within_book(lined, 9, reps), pairs, 30, reps, each=True, block=block), "replicate").collect()
+        assert {(r.replicate, r.a, r.b, r.detector): r.score for r in got} == pytest.approx(want, abs=1e-9) and len(got) == len(want)
+        tally = U.bag_scores(U.reassign_within_book(lined, 9, reps), pairs, 30, reps, block=block).groupBy("replicate", "detector").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("score")).alias("s")).collect()
+        assert {(r.replicate, r.detector, r.n) for r in tally} == {(r, n, 496) for r in (1, 2) for n in U.SCORED}
+        for r in tally:
+            assert r.s == pytest.approx(sum(v for k, v in want.items() if (k[0], k[3]) == (r.replicate, r.detector)), abs=1e-5)
