@@ -149,3 +149,19 @@ def test_bag_scores_are_those_of_every_feature(spark):
         assert {(r.replicate, r.detector, r.n) for r in tally} == {(r, n, 496) for r in (1, 2) for n in U.SCORED}
         for r in tally:
             assert r.s == pytest.approx(sum(v for k, v in want.items() if (k[0], k[3]) == (r.replicate, r.detector)), abs=1e-5)
+
+
+def test_packed_p_values_are_those_of_all_scores(spark):
+    import random
+
+    from passagelink.operators import nulls as U
+
+    rng = random.Random(7)
+    draw = lambda: rng.choice([0.0, 0.5, 1 / 3, 2.25, rng.random(), rng.random() / 1000])
+    nulls = sorted((f, r, d, round(draw(), 9), rng.randrange(1, 4)) for f in "xy" for r in (1, 2) for d in ("j", "k") for _ in range(300))
+    nulls = spark.createDataFrame(nulls, "family string, replicate int, detector string, score double, n bigint")
+    obs = spark.createDataFrame([(i, i + 1, d, round(draw(), 9)) for i in range(200) for d in ("j", "k")], "a int, b int, detector string, score double")
+    packed = U.packed_scores(nulls)
+    assert sorted(map(tuple, U.unpacked_scores(packed).collect())) == sorted(map(tuple, nulls.collect()))
+    want = {(r.a, r.detector): r.p for r in U.null_p_values(obs, nulls).collect()}
+    assert {(r.a, r.detector): r.p for r in U.packed_p_values(obs, packed).collect()} == want and len(want) == 400
